@@ -7,15 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import sharding, sketch
+from mosaiq.llm import bpe, langid, sharding, sketch, token_store
 from mosaiq.llm.common import read_table, table_path
 
 
+def op4_family_then_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.train(docs, learn=~langid.held_out())
+    narrow = docs.select("doc_id", langid.held_out().alias("held_out"), "text")
+    return langid.predict(narrow, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(read_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op2_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = sharding.shard(read_table(spark, sf_dir, "documents"), 16, map_path=table_path(spark, "slot-map"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op3_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table_path(spark, "token-files")
+    token_store.write(read_table(spark, sf_dir, "documents"), target, vocabulary_path("byte_bpe_50k.json"))
+    return token_store.read(spark, target)
+
+
 def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(read_table(spark, sf_dir, "documents"))
 
