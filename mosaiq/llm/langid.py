@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from mosaiq.llm.common import slices
@@ -154,17 +155,15 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
 def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
+    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    schema = StructType([*(docs.schema[c] for c in columns), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
             found = [(UNDETERMINED, 0.0) if shared.value is None or (x := features(t)) is None else shared.value.predict(x) for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*columns, "lang_pred", "score"])
 
-    schema = docs.drop("lang_pred", "score").schema if {"lang_pred", "score"} & set(columns) else docs.schema
-    docs = docs.select(*schema.names)
-    columns = docs.columns
-    return docs.withColumn("__text", F.col(text)).mapInArrow(run, schema.add("lang_pred", "string").add("score", "double"))
+    return docs.select(*columns, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import bpe, langid, sharding, sketch, token_store
+from mosaiq.llm import bpe, decontam, langid, line_chunks, sharding, sketch, token_store
 from mosaiq.llm.common import read_table, table_path
 
 
@@ -40,10 +40,20 @@ def op3_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, target)
 
 
+def op8_pigeonhole_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = line_chunks.dedup(docs)
+    return done.select("doc_id", "lines_removed", "spans_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
