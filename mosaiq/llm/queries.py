@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import bpe, decontam, langid, line_chunks, sharding, sketch, token_store
+from mosaiq.llm import bpe, chosen_path, decontam, langid, line_chunks, sharding, sketch, token_store
 from mosaiq.llm.common import read_table, table_path
 
 
@@ -40,6 +40,10 @@ def op3_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, target)
 
 
+def op5_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(read_table(spark, sf_dir, "documents"))
+
+
 def op8_pigeonhole_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
