@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import bpe, chosen_path, decontam, langid, line_chunks, sharding, sketch, suffix_dedup, token_store
+from mosaiq.llm import bpe, chosen_path, compact_windows, decontam, langid, line_chunks, sharding, sketch, suffix_dedup, token_store
 from mosaiq.llm.common import read_table, table_path
 
 
@@ -48,6 +48,10 @@ def op6_hashed_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.find(read_table(spark, sf_dir, "documents"))
+
+
 def op8_pigeonhole_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
