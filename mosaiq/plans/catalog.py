@@ -82,10 +82,10 @@ def l2_norms(spark, d):
     return e.select("vec_id", F.round(V.l2_norm(F.col("embedding")), 5).alias("norm"), F.round(V.l2_norm(V.l2_normalize(F.col("embedding"))), 5).alias("unit_norm"))
 
 
-@query("WITH " + O.LV + " SELECT source_id, video_no, (pos-1)::INT AS pos, round(avg(v::DOUBLE),5) AS mean, round(stddev_pop(v::DOUBLE),5) AS std FROM lv WHERE pos<=40 GROUP BY 1,2,3")
+@query("WITH " + O.LV + " SELECT source_id, video_no, (pos-1)::INT AS pos, round(avg(v::DOUBLE)::FLOAT::DOUBLE,4) AS mean, round(stddev_pop(v::DOUBLE)::FLOAT::DOUBLE,4) AS std FROM lv WHERE pos<=40 GROUP BY 1,2,3")
 def segment_mean_std(spark, d):
     stats = segments.vector_mean_std(A.seg_vectors(spark, d), "resnet", ["source_id", "video_no"])
-    return stats.select("source_id", "video_no", F.posexplode(F.arrays_zip("mean", "std")).alias("pos", "s")).select("source_id", "video_no", "pos", F.round(F.col("s.mean").cast("double"), 5).alias("mean"), F.round(F.col("s.std").cast("double"), 5).alias("std"))
+    return stats.select("source_id", "video_no", F.posexplode(F.arrays_zip("mean", "std")).alias("pos", "s")).select("source_id", "video_no", "pos", F.round(F.col("s.mean").cast("double"), 4).alias("mean"), F.round(F.col("s.std").cast("double"), 4).alias("std"))
 
 
 @query("WITH " + O.FIT + " SELECT (pos-1)::INT AS pos, round(q1,6) q1, round(med,6) median, round(q3,6) q3, round(safe,6) AS scale, (q3-q1)<=1e-8 AS zero_iqr, n::BIGINT AS fitted_rows FROM m")
@@ -109,11 +109,15 @@ def binary_bits_stats(spark, d):
     return models.bit_statistics(_digests(spark, d), "resnet_bits", ["source_id"]).withColumn("one_ratio", r6("one_ratio"))
 
 
-@query("WITH " + O.CODE + ", g AS (SELECT DISTINCT source_id, x AS bin FROM code, (VALUES (0),(1),(2),(3)) t(x)) SELECT g.source_id, g.bin::INT AS bin, count(c.pos)::BIGINT AS n FROM g LEFT JOIN code c ON c.source_id=g.source_id AND c.pos>40 AND c.pos<=52 AND c.b=g.bin GROUP BY 1,2")
+def _count_of(k: int):
+    return lambda n, b: n + (b == k).cast("int")
+
+
+@query("WITH " + O.CODE + ", g AS (SELECT DISTINCT source_id, t.k AS bin FROM code, (VALUES (0),(1),(2),(3)) t(k)) SELECT g.source_id, g.bin::INT AS bin, count(c.pos)::BIGINT AS n FROM g LEFT JOIN code c ON c.source_id=g.source_id AND c.pos>40 AND c.pos<=52 AND c.b=g.bin GROUP BY 1,2")
 def quartile_bin_histogram(spark, d):
     part = lambda c: F.slice(c, A.RESNET + 1, A.TEMPORAL)
     bins = _scaled(spark, d).select("source_id", V.quartile_bins(part("x"), part("low"), part("high")).alias("bins"))
-    counted = bins.groupBy("source_id").agg(*(F.sum(F.size(F.filter("bins", lambda b, k=k: b == k))).alias(str(k)) for k in range(4)))
+    counted = bins.groupBy("source_id").agg(*(F.sum(F.aggregate("bins", F.lit(0), _count_of(k))).alias(str(k)) for k in range(4)))
     return counted.unpivot("source_id", ["0", "1", "2", "3"], "bin", "n").withColumn("bin", F.col("bin").cast("int"))
 
 
