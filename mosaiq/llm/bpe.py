@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from mosaiq.llm.common import ragged_take, slices
 
 #: Chunks that a Python worker remembers; twice as many just before the older half goes.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Texts without other characters take the short way, where white space is certain and nothing needs normalizing but case.
 UNUSUAL = re.compile(f"[^\n -~{_LETTERS}]|<\\|")
