@@ -37,8 +37,15 @@ def parse_key(text: str) -> bytes:
     return key
 
 
+def demonstration_key() -> bytes:
+    """A public key for examples and tests; it protects nothing."""
+    return hashlib.sha256(b"demonstration").digest()
+
+
 def load_key(path: str | None = None, variable: str | None = None) -> bytes:
-    """From a file, else from an environment variable."""
+    """From a file, else from an environment variable; the public demonstration key if neither is named."""
+    if path is None and variable is None:
+        return demonstration_key()
     if path:
         with open(path, encoding="ascii") as f:
             return parse_key(f.read())

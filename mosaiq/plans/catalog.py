@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from mosaiq.functions import auth
 from mosaiq.functions import scalars as S
 from mosaiq.functions import vectors as V
-from mosaiq.operators import compare, evaluation, models, nested, segments
+from mosaiq.operators import compare, evaluation, models, nested, records, reports, segments
 from mosaiq.plans import oracle_parts as O
 from mosaiq.sources import adapters as A
 
@@ -699,3 +699,59 @@ def worst_segment(spark, d):
 @query("WITH " + O.DIST + " SELECT transformation, round(avg(bal),6) AS mean_score, round(max(ds),6) AS max_spatial, count(*)::BIGINT AS segments FROM dd GROUP BY 1")
 def score_by_transformation(spark, d):
     return _distances(spark, d).groupBy("transformation").agg(r6(F.avg("balanced")).alias("mean_score"), r6(F.max("spatial_distance")).alias("max_spatial"), F.count(F.lit(1)).alias("segments"))
+
+
+# --- authentication --------------------------------------------------------------------------------------------------
+
+
+def _payloads(spark, d):
+    """The canonical payload of every recording."""
+    coded = _digests(spark, d).select("source_id", "video_id", "segment_id", F.concat("resnet_bits", "temporal_bits", "spatial_bits").alias("bits"), (F.col("segment_id") * 5.0).alias("start_s"), (F.col("segment_id") * 5.0 + 5.0).alias("end_s"))
+    return records.payloads(coded)
+
+
+@query()
+def hmac_records(spark, d):
+    """Signed records. The workers derive the catalogue's public demonstration key by themselves; real keys come from files or variables."""
+    return records.sign(_payloads(spark, d), "demonstration", auth.key_fingerprint(auth.demonstration_key()))
+
+
+@query()
+def verify_matrix(spark, d):
+    """Checks of records of which every fifth field is spoiled in turn."""
+    r = hmac_records(spark, d).withColumn("case", F.pmod(F.xxhash64("video_id"), F.lit(6)))
+    spoil = {"schema_version": 1, "algorithm": 2, "payload_sha256": 3, "key_fingerprint": 4, "tag": 5}
+    for column, case in spoil.items():
+        r = r.withColumn(column, F.when(F.col("case") == case, F.concat(F.lit("00"), F.substring(F.col(column), 3, 200))).otherwise(F.col(column)))
+    checked = records.verify(r, auth.key_fingerprint(auth.demonstration_key()))
+    return checked.select("video_id", "case", "schema_ok", "algorithm_ok", "payload_ok", "key_ok", "tag_ok", "valid", "reasons")
+
+
+@query("WITH " + O.LOG + ", " + O.PRED + " SELECT reason, count(*)::BIGINT AS n FROM (SELECT 'stage failed: '||stage AS reason FROM lg WHERE status='failed' UNION ALL SELECT 'expected '||expected||', observed '||observed FROM pd WHERE expected<>observed) GROUP BY 1")
+def failure_summary(spark, d):
+    return reports.failures(_log(spark, d), A.predictions(spark, d)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH " + O.LOG + " SELECT source_id, count(*)::BIGINT AS runs, count(*) FILTER (status='completed')::BIGINT AS completed, count(*) FILTER (status='failed')::BIGINT AS failed, count(*) FILTER (cache_reused)::BIGINT AS cache_reused, round(sum(try_cast(duration_text AS DOUBLE)),6) AS seconds FROM lg GROUP BY 1")
+def runtime_by_source(spark, d):
+    return reports.runtime(_log(spark, d), ["source_id"])
+
+
+@query("WITH " + _LOSO_SQL + ", mv AS (SELECT source_id, video_id, max(bal) mx FROM dd GROUP BY 1,2) SELECT video_id, round(mx,6) AS max_value, round(threshold,6) AS threshold, mx>threshold AS exceeds FROM mv JOIN th ON th.held_out=mv.source_id AND th.stream='balanced'")
+def max_with_fold_threshold(spark, d):
+    rows, limits, _ = _loso(spark, d)
+    top = rows.groupBy("source_id", "video_id").agg(F.max("balanced").alias("max_value"))
+    out = reports.with_fold_threshold(top, limits.filter("stream = 'balanced'").select("held_out", "threshold"))
+    return out.select("video_id", r6("max_value").alias("max_value"), r6("threshold").alias("threshold"), "exceeds")
+
+
+@query("WITH " + O.DIST + " SELECT video_id, segment_id, round(bal,6) AS score, row_number() OVER (PARTITION BY video_id ORDER BY segment_id)::INT AS place FROM dd")
+def segment_timeline(spark, d):
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy("segment_id"))
+    return _distances(spark, d).select("video_id", "segment_id", r6("balanced").alias("score"), place.alias("place"))
+
+
+@query("WITH " + O.REG + " SELECT video_id, coalesce(width,0)||'x'||coalesce(height,0) AS resolution FROM rg")
+def metadata_overview(spark, d):
+    r = A.registry(spark, d).withColumn("duration", F.lit(None).cast("double")).withColumn("fps", S.frame_rate(F.col("fps_text"))).withColumn("bit_rate", F.col("size") * 8.0)
+    return reports.overview(r).select("video_id", "resolution")
