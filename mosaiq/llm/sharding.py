@@ -24,6 +24,11 @@ def slot_of(key: Column, n_slots: int = N_SLOTS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int")
 
 
+def literal(values: list[int], kind: str) -> Column:
+    """A constant array; one text that the optimizer folds, not a call for each number."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def record_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint")
 
@@ -86,7 +91,7 @@ class SlotMap:
         return SlotMap(self.version + 1, self.n_shards + 1, tuple(shard_of))
 
     def column(self, slot: Column) -> Column:
-        return F.element_at(F.lit(list(self.shard_of)), slot + 1)
+        return F.element_at(literal(self.shard_of, "int"), slot + 1)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.range(len(self.shard_of)).select(
@@ -133,5 +138,5 @@ def shard(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str =
         offset[slot] = filled[s]
         filled[s] += slot_rows[slot]
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(key, "text_crc32", "size"))
-    placed = records.withColumn("slot", F.element_at(F.lit(offset), F.col("virtual_slot") + 1).cast("bigint") + place - 1)
+    placed = records.withColumn("slot", F.element_at(literal(offset, "bigint"), F.col("virtual_slot") + 1) + place - 1)
     return placed.withColumn("shard", slot_map.column(F.col("virtual_slot"))), slot_map
