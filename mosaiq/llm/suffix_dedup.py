@@ -319,7 +319,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
 
     joined = docs.join(by_doc.withColumnRenamed("doc_id", "key").hint("shuffle_hash"), "key")
     texts = joined.mapInArrow(cut, "h long, doc_id long, at long, n long, hot boolean, bytes binary")
-    texts = materialize(texts.repartition(n, "h", F.when(F.col("hot"), F.col("doc_id"))), "suffix-bytes")
+    texts = materialize(texts, "suffix-bytes")
     cold = sort_groups(texts.filter("not hot").repartition(n, "h").sortWithinPartitions("h", "doc_id", "at").select("h", "doc_id", "at", "n", "bytes"), length)
     found = whole.unionByName(cold).unionByName(sort_hot(texts.filter("hot"), length))
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans")).withColumnRenamed("doc_id", "key")
