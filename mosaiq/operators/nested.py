@@ -16,8 +16,10 @@ from mosaiq.sources.adapters import RESNET, SPATIAL, TEMPORAL
 
 # The weight and margin grids.
 WEIGHTS = ((0, 0.4, 0.3, 0.3), (1, 0.3, 0.2, 0.5), (2, 0.5, 0.25, 0.25))
+TWO_STREAM_WEIGHTS = ((0, 0.5, 0.5, 0.0), (1, 0.7, 0.3, 0.0), (2, 0.3, 0.7, 0.0))
 MARGINS = (1.5, 3.0)
 BITS = RESNET + 2 * TEMPORAL + 2 * SPATIAL
+TWO_STREAM_BITS = RESNET + 2 * TEMPORAL
 
 
 def training_sets(sources: DataFrame) -> DataFrame:
@@ -34,40 +36,58 @@ def set_distances(segments: DataFrame, sets: DataFrame, keep: Callable[[DataFram
     coded = models.digests(models.scaled(segments.crossJoin(fitted)), RESNET, TEMPORAL, SPATIAL)
     lengths = {"resnet": RESNET, "temporal": 2 * TEMPORAL, "spatial": 2 * SPATIAL}
     found = compare.distances(coded.withColumn("spatial_values", F.col("spatial")), ["out_a", "out_b", "source_id"], lengths, "spatial_values")
-    return keep(found.select("out_a", "out_b", "source_id", "video_id", "video_no", "segment_id", "expected", "resnet_distance", "temporal_distance", "spatial_distance", "blur_loss"))
+    return keep(found.select("out_a", "out_b", "source_id", "video_id", "video_no", "segment_id", "expected", "profile", "resnet_distance", "temporal_distance", "spatial_distance", "blur_loss"))
 
 
-def weighted(distances: DataFrame) -> DataFrame:
+def weighted(distances: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
     """One row for each entry of the weight grid."""
-    grid = F.explode(F.array(*(F.struct(F.lit(i).alias("weight_no"), F.lit(r).alias("wr"), F.lit(t).alias("wt"), F.lit(s).alias("ws")) for i, r, t, s in WEIGHTS)))
+    grid = F.explode(F.array(*(F.struct(F.lit(i).alias("weight_no"), F.lit(r).alias("wr"), F.lit(t).alias("wt"), F.lit(s).alias("ws")) for i, r, t, s in weights)))
     rows = distances.select("*", grid.alias("g")).select(*distances.columns, "g.*")
     return rows.withColumn("score", (F.col("wr") * F.col("resnet_distance") + F.col("wt") * F.col("temporal_distance") + F.col("ws") * F.col("spatial_distance")) / (F.col("wr") + F.col("wt") + F.col("ws")))
 
 
-def thresholds(scored: DataFrame) -> DataFrame:
-    """Score and blur thresholds of each training set, weight and margin, from its own sources' normal videos."""
+def thresholds(scored: DataFrame, bits: int = BITS, blur: bool = True) -> DataFrame:
+    """Score and blur thresholds of each training set, weight and margin, from its own sources' normal videos. Without blur its threshold is 1, which no loss exceeds."""
     train = scored.filter("video_no <= 4 and source_id <> out_a and source_id <> out_b")
     train = train.select("*", F.explode(F.lit(list(MARGINS))).alias("margin"))
     by = ["out_a", "out_b", "weight_no", "margin"]
-    score = evaluation.mad_threshold(train, "score", by, F.col("margin"), 1 / BITS).select(*by, F.col("threshold").alias("score_threshold"))
-    blur = evaluation.mad_threshold(train, "blur_loss", by, F.col("margin"), 1e-6).select(*by, F.col("threshold").alias("blur_threshold"))
-    return score.join(blur, by)
+    score = evaluation.mad_threshold(train, "score", by, F.col("margin"), 1 / bits).select(*by, F.col("threshold").alias("score_threshold"))
+    if not blur:
+        return score.withColumn("blur_threshold", F.lit(1.0))
+    loss = evaluation.mad_threshold(train, "blur_loss", by, F.col("margin"), 1e-6).select(*by, F.col("threshold").alias("blur_threshold"))
+    return score.join(loss, by)
 
 
-def decide(scored: DataFrame, limits: DataFrame, structural: DataFrame, by: list[str]) -> DataFrame:
+def profile_thresholds(scored: DataFrame, limits: DataFrame, bits: int = BITS) -> DataFrame:
+    """As thresholds, with one score threshold for each compression profile seen in training; other profiles have the common one."""
+    train = scored.filter("video_no <= 4 and source_id <> out_a and source_id <> out_b").select("*", F.explode(F.lit(list(MARGINS))).alias("margin"))
+    by = ["out_a", "out_b", "weight_no", "margin"]
+    own = evaluation.mad_threshold(train, "score", [*by, "profile"], F.col("margin"), 1 / bits).select(*by, "profile", F.col("threshold").alias("own"), F.col("n").alias("profile_rows"))
+    every = limits.crossJoin(scored.select("profile").distinct())
+    return every.join(own, [*by, "profile"], "left").withColumn("score_threshold", F.coalesce("own", "score_threshold")).drop("own")
+
+
+def decide(scored: DataFrame, limits: DataFrame, structural: DataFrame, by: list[str], extra: list[str] = []) -> DataFrame:
     """Videos are abnormal if any segment exceeds a threshold strictly or their structure differs."""
     over = (F.col("score") > F.col("score_threshold")) | (F.col("blur_loss") > F.col("blur_threshold"))
-    rows = scored.join(limits, ["out_a", "out_b", "weight_no"])
+    rows = scored.join(limits, ["out_a", "out_b", "weight_no", *extra])
     videos = rows.groupBy(*by, "out_a", "out_b", "weight_no", "margin", "source_id", "video_id", "expected").agg(F.bool_or(over).alias("over"))
     return videos.join(structural, ["source_id", "video_id"]).withColumn("observed", F.when(F.col("over") | F.col("structural"), "abnormal").otherwise("normal"))
 
 
-def evaluate(segments: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
-    """(selected parameters by outer fold, outer predictions)."""
+def evaluate(segments: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df, two_streams: bool = False, adaptive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(selected parameters by outer fold, outer predictions).
+
+    two_streams: the first version, without the spatial stream and blur loss. adaptive: outer decisions use the
+    threshold of the recording's compression profile; the parameters are selected without profiles.
+    """
+    grid, bits = (TWO_STREAM_WEIGHTS, TWO_STREAM_BITS) if two_streams else (WEIGHTS, BITS)
     sources = segments.select("source_id").distinct()
     table = set_distances(segments, training_sets(sources), keep)
-    scored = weighted(table)
-    limits = keep(thresholds(scored))
+    if two_streams:
+        table = table.withColumn("blur_loss", F.lit(0.0))
+    scored = weighted(table, grid)
+    limits = keep(thresholds(scored, bits, not two_streams))
     structural = compare.structural_issues(segments, ["source_id"]).select("source_id", "video_id", "structural")
     inner = scored.filter("out_a <> out_b")
     # the pair (a, b) serves both ways: outer a with inner b, outer b with inner a
@@ -76,6 +96,10 @@ def evaluate(segments: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambd
     held = decide(one.unionByName(two), limits, structural, ["outer_out"])
     quality = evaluation.metrics(evaluation.counts(held, ["outer_out", "weight_no", "margin"]), zero=True)
     selected = keep(evaluation.best_parameters(quality, ["outer_out"], ["weight_no", "margin"]).select("outer_out", "weight_no", "margin", "balanced_accuracy", "f1"))
-    outer = scored.filter("out_a = out_b and source_id = out_a")
-    chosen = decide(outer, limits.filter("out_a = out_b"), structural, []).join(selected.select(F.col("outer_out").alias("out_a"), "weight_no", "margin"), ["out_a", "weight_no", "margin"])
+    whole = scored.filter("out_a = out_b")
+    last = limits.filter("out_a = out_b")
+    if adaptive:
+        last = profile_thresholds(whole, last, bits)
+    decided = decide(whole.filter("source_id = out_a"), last, structural, [], ["profile"] if adaptive else [])
+    chosen = decided.join(selected.select(F.col("outer_out").alias("out_a"), "weight_no", "margin"), ["out_a", "weight_no", "margin"])
     return selected, chosen.select(F.col("out_a").alias("held_out"), "video_id", "expected", "observed", "weight_no", "margin")

@@ -241,22 +241,28 @@ def main_attribution(spark, d):
     return evaluation.main_attribution(_decisions(spark, d).filter("abnormal"), ["video_id"])
 
 
-_SETS_SQL = O.LV + f""", src AS (SELECT DISTINCT source_id FROM sv), ts AS (SELECT a.source_id out_a, b.source_id out_b FROM src a, src b WHERE a.source_id<=b.source_id),
+def _sets_sql(grid: str, bits: int, blur: bool) -> str:
+    """Training sets, fits, distances, thresholds and inner selection."""
+    return O.LV + f""", src AS (SELECT DISTINCT source_id FROM sv), ts AS (SELECT a.source_id out_a, b.source_id out_b FROM src a, src b WHERE a.source_id<=b.source_id),
  fit AS (SELECT out_a, out_b, pos, quantile_cont(v::DOUBLE,0.25) q1, quantile_cont(v::DOUBLE,0.5) med, quantile_cont(v::DOUBLE,0.75) q3 FROM lv, ts WHERE video_no<=4 AND source_id<>out_a AND source_id<>out_b GROUP BY 1,2,3),
  m AS (SELECT *, greatest(q3-q1,1e-8) safe FROM fit),
  nx AS (SELECT m.out_a, m.out_b, lv.*, least(5.0::DOUBLE, greatest(-5.0::DOUBLE, (v::DOUBLE-med)/safe))::FLOAT x, ((q1-med)/safe)::FLOAT t1, ((q3-med)/safe)::FLOAT t3 FROM lv JOIN m USING (pos)),
  bn AS (SELECT *, {O.BINS} AS b FROM nx), code AS (SELECT *, {O.CODE_OF} AS c FROM bn),
  d AS ({O.DIST_SELECT.format(k="q.out_a, q.out_b,", j="AND r.out_a=q.out_a AND r.out_b=q.out_b")}){O.STRUCT},
- sc AS (SELECT *, (wr*dr+wt*dt+ws*ds)/(wr+wt+ws) AS score FROM d, (VALUES (0,0.4::DOUBLE,0.3::DOUBLE,0.3::DOUBLE),(1,0.3,0.2,0.5),(2,0.5,0.25,0.25)) g(w,wr,wt,ws)),
+ sc AS (SELECT *, (wr*dr+wt*dt+ws*ds)/(wr+wt+ws) AS score FROM d, (VALUES {grid}) g(w,wr,wt,ws)),
  tr AS (SELECT sc.*, margin FROM sc, (VALUES (1.5::DOUBLE),(3.0)) mg(margin) WHERE video_no<=4 AND source_id<>out_a AND source_id<>out_b),
  md AS (SELECT out_a,out_b,w,margin, median(score) ms, median(blur) mb FROM tr GROUP BY 1,2,3,4),
- th AS (SELECT out_a,out_b,w,margin, least(1,greatest(0,max(score)+greatest(margin*median(abs(score-ms)),1.0/88))) t_s, least(1,greatest(0,max(blur)+greatest(margin*median(abs(blur-mb)),1e-6))) t_b FROM tr JOIN md USING (out_a,out_b,w,margin) GROUP BY 1,2,3,4),
+ th AS (SELECT out_a,out_b,w,margin, least(1,greatest(0,max(score)+greatest(margin*median(abs(score-ms)),1.0/{bits}))) t_s, {'least(1,greatest(0,max(blur)+greatest(margin*median(abs(blur-mb)),1e-6)))' if blur else '1e18'} t_b FROM tr JOIN md USING (out_a,out_b,w,margin) GROUP BY 1,2,3,4),
  hv AS (SELECT CASE WHEN sc.source_id=sc.out_b THEN sc.out_a ELSE sc.out_b END AS outer_out, sc.* FROM sc WHERE out_a<>out_b AND (source_id=out_a OR source_id=out_b)),
  vd AS (SELECT outer_out, w, margin, hv.source_id, hv.video_id, hv.expected, bool_or(score>t_s OR blur>t_b) OR max(missing_segments)>0 OR max(extra_segments)>0 AS ab FROM hv JOIN th USING (out_a,out_b,w) JOIN st USING (source_id, video_id) GROUP BY ALL),
  pd AS (SELECT *, CASE WHEN ab THEN 'abnormal' ELSE 'normal' END AS observed FROM vd), cn AS ({O.counts("outer_out, w, margin")}), mt AS ({O.metrics("cn", "outer_out, w, margin", True)}),
  sel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY outer_out ORDER BY round(balanced_accuracy,12) DESC, round(f1,12) DESC, w, margin) rn FROM mt) WHERE rn=1)"""
 
 
+_SETS_SQL = _sets_sql("(0,0.4::DOUBLE,0.3::DOUBLE,0.3::DOUBLE),(1,0.3,0.2,0.5),(2,0.5,0.25,0.25)", 88, True)
+_TWO_SQL = _sets_sql("(0,0.5::DOUBLE,0.5::DOUBLE,0.0::DOUBLE),(1,0.7,0.3,0.0),(2,0.3,0.7,0.0)", 64, False)
+
+
 def _keep(spark):
     """A written table in the shared folder cuts the plan where one is set; else the plan stays whole."""
     from mosaiq.sources.sinks import stage_table
@@ -270,11 +276,27 @@ def nested_selection(spark, d):
     return selected.withColumn("balanced_accuracy", r6("balanced_accuracy")).withColumn("f1", r6("f1"))
 
 
-@query("WITH " + _SETS_SQL + ", ov AS (SELECT sc.out_a AS held_out, video_id, expected, sc.w AS weight_no, th.margin, bool_or(score>t_s OR blur>t_b) OR max(missing_segments)>0 OR max(extra_segments)>0 AS ab FROM sc JOIN sel ON sel.outer_out=sc.out_a AND sel.w=sc.w JOIN th ON th.out_a=sc.out_a AND th.out_b=sc.out_b AND th.w=sc.w AND th.margin=sel.margin JOIN st USING (source_id, video_id) WHERE sc.out_a=sc.out_b AND sc.source_id=sc.out_a GROUP BY 1,2,3,4,5) SELECT held_out, video_id, expected, CASE WHEN ab THEN 'abnormal' ELSE 'normal' END AS observed, weight_no::INT AS weight_no, margin FROM ov")
+_OUTER_SQL = ", ov AS (SELECT sc.out_a AS held_out, video_id, expected, sc.w AS weight_no, th.margin, bool_or(score>t_s OR blur>t_b) OR max(missing_segments)>0 OR max(extra_segments)>0 AS ab FROM sc JOIN sel ON sel.outer_out=sc.out_a AND sel.w=sc.w JOIN th ON th.out_a=sc.out_a AND th.out_b=sc.out_b AND th.w=sc.w AND th.margin=sel.margin JOIN st USING (source_id, video_id) WHERE sc.out_a=sc.out_b AND sc.source_id=sc.out_a GROUP BY 1,2,3,4,5) SELECT held_out, video_id, expected, CASE WHEN ab THEN 'abnormal' ELSE 'normal' END AS observed, weight_no::INT AS weight_no, margin FROM ov"
+_ADAPTIVE_SQL = ", pm AS (SELECT out_a, w, margin, profile, median(score) ms FROM tr WHERE out_a=out_b GROUP BY 1,2,3,4), pt AS (SELECT out_a, w, margin, profile, least(1,greatest(0,max(score)+greatest(margin*median(abs(score-ms)),1.0/88))) p_s FROM tr JOIN pm USING (out_a,w,margin,profile) WHERE out_a=out_b GROUP BY 1,2,3,4), ov AS (SELECT sc.out_a AS held_out, video_id, expected, sc.w AS weight_no, th.margin, bool_or(score>coalesce(p_s,t_s) OR blur>t_b) OR max(missing_segments)>0 OR max(extra_segments)>0 AS ab FROM sc JOIN sel ON sel.outer_out=sc.out_a AND sel.w=sc.w JOIN th ON th.out_a=sc.out_a AND th.out_b=sc.out_b AND th.w=sc.w AND th.margin=sel.margin LEFT JOIN pt ON pt.out_a=sc.out_a AND pt.w=sc.w AND pt.margin=sel.margin AND pt.profile=sc.profile JOIN st USING (source_id, video_id) WHERE sc.out_a=sc.out_b AND sc.source_id=sc.out_a GROUP BY 1,2,3,4,5) SELECT held_out, video_id, expected, CASE WHEN ab THEN 'abnormal' ELSE 'normal' END AS observed, weight_no::INT AS weight_no, margin FROM ov"
+
+
+@query("WITH " + _SETS_SQL + _OUTER_SQL)
 def nested_predictions(spark, d):
     return nested.evaluate(A.seg_vectors(spark, d), _keep(spark))[1]
 
 
+@query("WITH " + _TWO_SQL + _OUTER_SQL)
+def nested_predictions_two_streams(spark, d):
+    """The first version: two streams, no blur loss."""
+    return nested.evaluate(A.seg_vectors(spark, d), _keep(spark), two_streams=True)[1]
+
+
+@query("WITH " + _SETS_SQL + _ADAPTIVE_SQL)
+def nested_predictions_adaptive(spark, d):
+    """Outer thresholds by compression profile, with the common one for profiles unseen in training."""
+    return nested.evaluate(A.seg_vectors(spark, d), _keep(spark), adaptive=True)[1]
+
+
 @query("WITH " + O.DIST + f", bv AS (SELECT video_id, video_no, source_id, bal FROM dd WHERE {_BENIGN}), fo AS (SELECT h.video_no AS left_out, b.* FROM (SELECT DISTINCT video_no FROM bv) h JOIN bv b ON b.video_no<>h.video_no), md AS (SELECT left_out, median(bal) md FROM fo GROUP BY 1), th AS (SELECT left_out, least(1,greatest(0,max(bal)+greatest(3*median(abs(bal-md)),0.5/40+0.5/24))) t FROM fo JOIN md USING (left_out) GROUP BY 1) SELECT left_out AS left_out_no, round(t,6) AS threshold, count(*) FILTER (bal>t)::BIGINT AS exceeding, count(*)::BIGINT AS segments FROM bv JOIN th ON th.left_out=bv.video_no GROUP BY 1,2")
 def leave_one_benign_out(spark, d):
     rows = _distances(spark, d).filter("video_no between 1 and 4")

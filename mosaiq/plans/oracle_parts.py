@@ -2,16 +2,17 @@
 
 SV = """sv AS (SELECT 'SRC_'||label AS source_id, 'SRC_'||label||'_V'||(rn%9) AS video_id, (rn%9)::INT AS video_no,
  ['trusted_reference','avi_conversion','mov_conversion','resize_480p','resize_720p','blur','frame_deletion','frame_insertion','frame_replacement'][(rn%9)::INT+1] AS transformation,
- (rn//9)::INT AS segment_id, CASE WHEN rn%9<=4 THEN 'normal' ELSE 'abnormal' END AS expected, embedding
+ (rn//9)::INT AS segment_id, CASE WHEN rn%9<=4 THEN 'normal' ELSE 'abnormal' END AS expected,
+ ['.mp4:source_res','.avi:source_res','.mov:source_res','.mp4:480p','.mp4:720p','.mp4:source_res','.mp4:480p','.mp4:720p','.mkv:unknown_res'][(rn%9)::INT+1] AS profile, embedding
  FROM (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id)-1 AS rn FROM embeddings))"""
-LV = SV + """, lv AS (SELECT source_id, video_id, video_no, transformation, segment_id, expected, unnest(embedding) AS v, generate_subscripts(embedding,1)::INT AS pos FROM sv)"""
+LV = SV + """, lv AS (SELECT source_id, video_id, video_no, transformation, segment_id, expected, profile, unnest(embedding) AS v, generate_subscripts(embedding,1)::INT AS pos FROM sv)"""
 FIT = LV + """, fit AS (SELECT pos, quantile_cont(v::DOUBLE,0.25) q1, quantile_cont(v::DOUBLE,0.5) med, quantile_cont(v::DOUBLE,0.75) q3, count(*) n FROM lv WHERE video_no<=4 GROUP BY pos),
  m AS (SELECT *, greatest(q3-q1,1e-8) safe FROM fit),
  nx AS (SELECT lv.*, least(5.0::DOUBLE, greatest(-5.0::DOUBLE, (v::DOUBLE-med)/safe))::FLOAT x, ((q1-med)/safe)::FLOAT t1, ((q3-med)/safe)::FLOAT t3 FROM lv JOIN m USING (pos))"""
 CODE_OF = """CASE WHEN pos<=40 THEN (x>=0::FLOAT)::INT ELSE xor(b, b>>1) END"""
 BINS = """CASE WHEN x>=t3 THEN 3 WHEN x>=0::FLOAT THEN 2 WHEN x>=t1 THEN 1 ELSE 0 END"""
 CODE = FIT + f""", bn AS (SELECT *, {BINS} AS b FROM nx), code AS (SELECT *, {CODE_OF} AS c FROM bn)"""
-DIST_SELECT = """SELECT {k} q.source_id, q.video_id, q.video_no, q.transformation, q.expected, q.segment_id,
+DIST_SELECT = """SELECT {k} q.source_id, q.video_id, q.video_no, q.transformation, q.expected, q.profile, q.segment_id,
  sum(CASE WHEN q.pos<=40 THEN bit_count(xor(q.c,r.c)) ELSE 0 END)/40.0::DOUBLE AS dr,
  sum(CASE WHEN q.pos>40 AND q.pos<=52 THEN bit_count(xor(q.c,r.c)) ELSE 0 END)/24.0::DOUBLE AS dt,
  sum(CASE WHEN q.pos>52 THEN bit_count(xor(q.c,r.c)) ELSE 0 END)/24.0::DOUBLE AS ds,

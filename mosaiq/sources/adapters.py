@@ -31,7 +31,8 @@ def seg_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.slice("embedding", RESNET + 1, TEMPORAL).alias("temporal"),
         F.slice("embedding", RESNET + TEMPORAL + 1, SPATIAL).alias("spatial"),
     )
-    return named.withColumn("category", category_of(F.col("transformation"))).withColumn("expected", expected_label(F.col("transformation")))
+    kinds = F.element_at(F.lit([".mp4:source_res", ".avi:source_res", ".mov:source_res", ".mp4:480p", ".mp4:720p", ".mp4:source_res", ".mp4:480p", ".mp4:720p", ".mkv:unknown_res"]), F.col("video_no") + 1)
+    return named.withColumn("profile", kinds).withColumn("category", category_of(F.col("transformation"))).withColumn("expected", expected_label(F.col("transformation")))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
