@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from mosaiq.functions import auth
 from mosaiq.functions import scalars as S
 from mosaiq.functions import vectors as V
-from mosaiq.operators import compare, evaluation, models, nested, records, reports, segments
+from mosaiq.operators import compare, evaluation, models, nested, records, reports, segments, validation
 from mosaiq.plans import oracle_parts as O
 from mosaiq.sources import adapters as A
 
@@ -777,3 +777,61 @@ def segment_timeline(spark, d):
 def metadata_overview(spark, d):
     r = A.registry(spark, d).withColumn("duration", F.lit(None).cast("double")).withColumn("fps", S.frame_rate(F.col("fps_text"))).withColumn("bit_rate", F.col("size") * 8.0)
     return reports.overview(r).select("video_id", "resolution")
+
+
+# --- validation and further reports ----------------------------------------------------------------------------------
+
+
+@query("WITH " + O.DIST + " SELECT * FROM (VALUES ('unit_interval'),('self_distance_zero'),('hybrid_is_sum'),('unique_segments')) t(rule), (SELECT 0::BIGINT AS violations, TRUE AS passed)")
+def output_validation(spark, d):
+    both = _digests(spark, d).withColumn("hybrid_bits", F.concat("resnet_bits", "temporal_bits", "spatial_bits"))
+    return validation.distance_rules(compare.distances(both, ["source_id"], BITS | {"hybrid": sum(BITS.values())}))
+
+
+@query("WITH " + O.SV + " SELECT source_id, count(*)::BIGINT AS rows, 40::INT AS resnet_size, 12::INT AS temporal_size, 12::INT AS spatial_size, TRUE AS finite FROM sv GROUP BY 1")
+def feature_inventory(spark, d):
+    return validation.inventory(A.seg_vectors(spark, d), ["resnet", "temporal", "spatial"], ["source_id"])
+
+
+@query("WITH " + O.SV + " SELECT video_id, segment_id, CASE WHEN video_no<3 THEN (CASE WHEN segment_id%2=0 THEN segment_id*5.0::DOUBLE END) ELSE segment_id*5.0::DOUBLE+0.5 END AS start_s FROM sv WHERE video_no<6")
+def segment_times_lookup(spark, d):
+    rows = A.seg_vectors(spark, d).filter("video_no < 6").select("video_id", "video_no", "segment_id")
+    first = rows.filter("video_no < 3 and segment_id % 2 = 0").select("video_id", "segment_id", (F.col("segment_id") * 5.0).alias("start_s"))
+    second = rows.select("video_id", "segment_id", (F.col("segment_id") * 5.0 + 0.5).alias("start_s"))
+    return validation.segment_times(rows, first, second).select("video_id", "segment_id", "start_s")
+
+
+_POOLED = O.DIST + _STREAM_SQL + f""", md AS (SELECT stream, median(val) md FROM u WHERE {_BENIGN} GROUP BY 1), mm AS (SELECT stream, least(1,greatest(0,max(val)+greatest(3*median(abs(val-md)),max(res)))) t FROM u JOIN md USING (stream) WHERE {_BENIGN} GROUP BY 1),
+ tw AS (SELECT max(t) FILTER (stream='resnet') tr, max(t) FILTER (stream='temporal') tt, max(t) FILTER (stream='balanced') tb FROM mm)"""
+
+
+@query("WITH " + _POOLED + " SELECT video_id, segment_id, CASE WHEN dr>tr AND dt>tt THEN 'both_streams' WHEN dr>tr THEN 'resnet_only' WHEN dt>tt THEN 'temporal_only' WHEN bal>tb AND dr>dt THEN 'resnet_only' WHEN bal>tb AND dt>dr THEN 'temporal_only' WHEN bal>tb THEN 'both_streams' ELSE 'none' END AS attribution FROM dd, tw")
+def pooled_decisions(spark, d):
+    """Decisions with one threshold a stream for all sources; an even balanced excess goes to both streams."""
+    rows = _distances(spark, d)
+    t = _stream_thresholds(_stream_values(rows).filter("video_no between 1 and 4"), [])
+    wide = t.agg(*(F.max(F.when(F.col("stream") == s, F.col("threshold"))).alias(f"t_{s}") for s in ("resnet", "temporal", "balanced")))
+    found = rows.crossJoin(F.broadcast(wide))  # one row
+    over = [F.col("resnet_distance") > F.col("t_resnet"), F.col("temporal_distance") > F.col("t_temporal"), F.col("balanced") > F.col("t_balanced")]
+    label = evaluation.attribution(F.lit(False), F.col("resnet_distance"), F.col("temporal_distance"), F.col("balanced"), *over, tie="both_streams")
+    return found.select("video_id", "segment_id", label.alias("attribution"))
+
+
+@query("WITH " + O.PRED + " SELECT source_id, round(avg((observed='abnormal')::INT) FILTER (transformation='de'),6) AS de, round(avg((observed='abnormal')::INT) FILTER (transformation='en'),6) AS en, round(avg((observed='abnormal')::INT) FILTER (transformation='es'),6) AS es, round(avg((observed='abnormal')::INT) FILTER (transformation='fr'),6) AS fr FROM pd GROUP BY 1")
+def rate_pivot(spark, d):
+    """Abnormal rates by group and transformation in fixed columns; cells without rows are null."""
+    p = A.predictions(spark, d).withColumn("rate", (F.col("observed") == "abnormal").cast("double"))
+    kinds = ["de", "en", "es", "fr"]
+    return p.groupBy("source_id").pivot("transformation", kinds).agg(F.avg("rate")).select("source_id", *(r6(k).alias(k) for k in kinds))
+
+
+@query("WITH " + O.REG + ", " + O.HITS + " SELECT video_id, coalesce(nullif(list_position(['trusted_reference','avi_conversion','mov_conversion','resize_480p','resize_720p','blur','frame_deletion','frame_insertion','frame_replacement'], t2), 0)-1, 99)::INT AS place, least(300.0::DOUBLE, greatest(30.0::DOUBLE, coalesce(width,0)*height/10000.0::DOUBLE)) AS point_size FROM cl")
+def transformation_order(spark, d):
+    pixels = F.coalesce("width", F.lit(0)) * F.col("height")
+    return _registry(spark, d).select("video_id", S.transformation_order(F.col("t2")).alias("place"), reports.point_size(pixels).alias("point_size"))
+
+
+@query("WITH " + O.LOG + " SELECT run_id, count(*)::BIGINT AS rows FROM lg WHERE run_id='O' GROUP BY 1")
+def current_run_strict(spark, d):
+    """The exact-match reading of the current run: blank ids are left out."""
+    return _log(spark, d).filter("run_id = 'O'").groupBy("run_id").agg(F.count(F.lit(1)).alias("rows"))
