@@ -80,9 +80,9 @@ def _similar(sets: list[np.ndarray], others: list[np.ndarray], threshold: float)
         x = np.zeros((len(n), 4096), np.float32)
         x[rows[part], at[part] - low] = 1
         common += x[: len(sets)] @ x[len(sets) :].T
-    size = np.array(n, np.float32)
+    size = np.array(n, np.float64)
     union = size[: len(sets), None] + size[None, len(sets) :] - common
-    return common >= np.float32(threshold) * union - 1e-3
+    return common >= threshold * union - 1e-9
 
 
 class _Forest:
