@@ -13,8 +13,8 @@ call equal are compared byte by byte. Only suffixes that can have an equal are s
 3. Anchors under which different runs remain send those runs' bytes to the sort, group by group. Groups of more than
    `hot` runs are split by the strings themselves, by the same rule, in DataFrame operations.
 
-A null text is empty and has nothing to remove. Null ids come first. Rows that repeat an id are ordered as one document
-would be only if their texts differ in length; ids are expected to be unique. Very long texts are cut into overlapping
+A null text is empty and has nothing to remove. Null ids come first. Rows with equal or null ids are separate documents
+if their texts differ, in the order of a hash of the text; rows with equal texts too are one document. Very long texts are cut into overlapping
 segments, so memory is bounded. Empty tables give empty results. Only the id and text columns are read.
 """
 
@@ -187,53 +187,68 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = L
 
 
 def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, run, doc_id, at, n, done) of all runs; done: an equal run of the same batch is earlier."""
+    """(h, run, doc_id, version, at, n, done) of all runs; done: an equal run of the same batch is earlier."""
 
-    def emit(keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, shift: np.ndarray) -> pa.RecordBatch:
+    def emit(keys: np.ndarray, versions: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, shift: np.ndarray) -> pa.RecordBatch:
         h, whole, first, n = runs(data, starts, ends, length, gram)
         piece = np.searchsorted(starts, first, "right") - 1
-        doc, at = keys[piece], first - starts[piece] + shift[piece]
-        order = np.lexsort((at, doc, h, whole))
+        doc, version, at = keys[piece], versions[piece], first - starts[piece] + shift[piece]
+        order = np.lexsort((at, version, doc, h, whole))
+        same = np.append(False, (whole[order][1:] == whole[order][:-1]) & (h[order][1:] == h[order][:-1]))
+        place = np.stack([doc, version, at])[:, order]
+        earliest = place[:, np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
         again = np.zeros(len(first), bool)
-        again[order[1:]] = (whole[order][1:] == whole[order][:-1]) & (h[order][1:] == h[order][:-1])
+        again[order] = (place != earliest).any(axis=0)  # a repeated row does not repeat itself
         # settled rows need no group: deal them evenly
         h = np.where(again, mix64(doc.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + at.astype(np.uint64)), h)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(at), pa.array(n.astype(np.int32)), pa.array(again)], ["h", "run", "doc_id", "at", "n", "done"])
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(version), pa.array(at), pa.array(n.astype(np.int32)), pa.array(again)], ["h", "run", "doc_id", "version", "at", "n", "done"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SEGMENT):
-            keys = batch.column("key").to_numpy()
+            keys, versions = batch.column("key").to_numpy(), batch.column("version").to_numpy()
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             if len(texts) > 1 or len(texts[0]) <= SEGMENT:
                 ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-                yield emit(keys, np.frombuffer(b"".join(texts), np.uint8), ends - np.array([len(t) for t in texts]), ends, np.zeros(len(texts), np.int64))
+                yield emit(keys, versions, np.frombuffer(b"".join(texts), np.uint8), ends - np.array([len(t) for t in texts]), ends, np.zeros(len(texts), np.int64))
                 continue
             for low in range(0, len(texts[0]) - length + 1, SEGMENT):
                 part = np.frombuffer(texts[0][low : low + SEGMENT + length - 1], np.uint8)
-                yield emit(keys, part, np.zeros(1, np.int64), np.array([len(part)]), np.array([low]))
+                yield emit(keys, versions, part, np.zeros(1, np.int64), np.array([len(part)]), np.array([low]))
 
-    return docs.mapInArrow(run, "h long, run long, doc_id long, at long, n int, done boolean")
+    return docs.mapInArrow(run, "h long, run long, doc_id long, version long, at long, n int, done boolean")
 
 
 def settle(rows: DataFrame) -> DataFrame:
-    """Rows come sorted by h, run, doc_id, at. Later equal runs are settled (done); runs whose anchor has others stay open."""
+    """Rows come sorted by h, run, doc_id, version, at. Later equal runs are settled (done); runs whose anchor has others stay open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list | None = None  # the last first run and whether its anchor has others before it
         last: tuple | None = None
+        earliest: tuple | None = None  # the place of the first of the last run's equals
         for batch in batches:
-            h, whole, doc, at, n = (batch.column(c).to_numpy() for c in ("h", "run", "doc_id", "at", "n"))
+            h, whole, doc, version, at, n = (batch.column(c).to_numpy() for c in ("h", "run", "doc_id", "version", "at", "n"))
             done = batch.column("done").to_numpy(zero_copy_only=False)
             open_ = np.flatnonzero(~done)
             if len(open_):
                 ho, wo = h[open_], whole[open_]
                 same = np.append(last == (ho[0], wo[0]), (ho[1:] == ho[:-1]) & (wo[1:] == wo[:-1]))
                 last = (ho[-1], wo[-1])
-                done[open_[same]] = True
-            out = [np.stack([h, doc, at, n.astype(np.int64), np.zeros(len(h), np.int64)])[:, done]]
-            first = np.flatnonzero(~done)
+                place = np.stack([doc, version, at])[:, open_]
+                head = np.maximum.accumulate(np.where(same, -1, np.arange(len(open_))))
+                of = place[:, np.maximum(head, 0)]
+                if earliest is not None:
+                    of[:, head < 0] = np.array(earliest)[:, None]
+                earliest = tuple(of[:, -1].tolist())
+                later = (place != of).any(axis=0)
+                done[open_[same & later]] = True
+                itself = np.zeros(len(h), bool)  # the same place by a repeated row
+                itself[open_[same & ~later]] = True
+            else:
+                itself = np.zeros(len(h), bool)
+            out = [np.stack([h, doc, version, at, n.astype(np.int64), np.zeros(len(h), np.int64)])[:, done]]
+            first = np.flatnonzero(~done & ~itself)
             if len(first):
-                f = np.stack([h, doc, at, n.astype(np.int64), np.ones(len(h), np.int64)])[:, first]
+                f = np.stack([h, doc, version, at, n.astype(np.int64), np.ones(len(h), np.int64)])[:, first]
                 shared = np.zeros(f.shape[1] + 1, bool)
                 if held is not None:
                     f, shared = np.hstack([held[0], f]), np.zeros(f.shape[1] + 2, bool)
@@ -246,20 +261,20 @@ def settle(rows: DataFrame) -> DataFrame:
                 held = [f[:, -1:], bool(shared[-2])]
             got = np.hstack(out)
             if got.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["h", "doc_id", "at", "n", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["h", "doc_id", "version", "at", "n", "open"])
         if held is not None and held[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["h", "doc_id", "at", "n", "open"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["h", "doc_id", "version", "at", "n", "open"])
 
-    return rows.mapInArrow(run, "h long, doc_id long, at long, n long, open long")
+    return rows.mapInArrow(run, "h long, doc_id long, version long, at long, n long, open long")
 
 
 def sort_groups(rows: DataFrame, length: int) -> DataFrame:
-    """rows (h, doc_id, at, n, bytes) sorted by h, doc_id, at -> the strings (doc_id, at, n) that occur earlier in their group."""
+    """rows (h, doc_id, version, at, n, bytes) sorted by h, doc_id, version, at -> the strings (doc_id, version, at, n) that occur earlier in their group."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch | None:
-        data = np.frombuffer(b"".join(r[4] for r in held), np.uint8)
-        size = np.array([len(r[4]) for r in held])
-        n = np.array([r[3] for r in held])
+        data = np.frombuffer(b"".join(r[5] for r in held), np.uint8)
+        size = np.array([len(r[5]) for r in held])
+        n = np.array([r[4] for r in held])
         begin = np.cumsum(size) - size
         row = np.repeat(np.arange(len(held)), n)
         inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -270,59 +285,61 @@ def sort_groups(rows: DataFrame, length: int) -> DataFrame:
         new = np.append(True, (row[hit][1:] != row[hit][:-1]) | (hit[1:] != hit[:-1] + 1))
         first = hit[new]
         count = np.diff(np.append(np.flatnonzero(new), len(hit)))
-        doc, at = np.array([r[1] for r in held]), np.array([r[2] for r in held])
-        return pa.RecordBatch.from_arrays([pa.array(doc[row[first]]), pa.array(at[row[first]] + inside[first]), pa.array(count)], ["doc_id", "at", "n"])
+        doc, version, at = (np.array([r[i] for r in held]) for i in (1, 2, 3))
+        return pa.RecordBatch.from_arrays([pa.array(doc[row[first]]), pa.array(version[row[first]]), pa.array(at[row[first]] + inside[first]), pa.array(count)], ["doc_id", "version", "at", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         strings = 0
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "at", "n", "bytes"))):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "version", "at", "n", "bytes"))):
+                if held and held[-1][:4] == r[:4]:  # a repeated row
+                    continue
                 if strings > 100_000 and held[-1][0] != r[0]:
                     if (got := solve(held)) is not None:
                         yield got
                     held, strings = [], 0
                 held.append(r)
-                strings += r[3]
+                strings += r[4]
         if held and (got := solve(held)) is not None:
             yield got
 
-    return rows.mapInArrow(run, "doc_id long, at long, n long")
+    return rows.mapInArrow(run, "doc_id long, version long, at long, n long")
 
 
 def sort_hot(rows: DataFrame, length: int) -> DataFrame:
     """As sort_groups for groups of any size: strings are dealt by their bytes, with partial minima."""
-    strings = rows.select("doc_id", "at", "bytes", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i")).select("doc_id", (F.col("at") + F.col("i")).alias("at"), F.substring("bytes", F.col("i") + 1, F.lit(length)).alias("string"))
-    place = F.struct("doc_id", "at")
+    strings = rows.select("doc_id", "version", "at", "bytes", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i")).select("doc_id", "version", (F.col("at") + F.col("i")).alias("at"), F.substring("bytes", F.col("i") + 1, F.lit(length)).alias("string"))
+    place = F.struct("doc_id", "version", "at")
     firsts = strings.groupBy("string").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    return strings.join(firsts, "string").filter(place != F.col("first")).select("doc_id", "at", F.lit(1).cast("bigint").alias("n"))
+    return strings.join(firsts, "string").filter(place != F.col("first")).select("doc_id", "version", "at", F.lit(1).cast("bigint").alias("n"))
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """docs: (key, text), never null. (key, spans): the starts and numbers of repeated strings of each document."""
+    """docs: (key, version, text), never null. (key, version, spans): the starts and numbers of repeated strings of each document."""
     n = shuffle_partitions(docs.sparkSession)
-    dealt = anchored(docs, length, gram).repartition(n, "h").sortWithinPartitions("h", "run", "doc_id", "at")
+    dealt = anchored(docs, length, gram).repartition(n, "h").sortWithinPartitions("h", "run", "doc_id", "version", "at")
     settled = materialize(settle(dealt), "suffix-runs")
-    whole = settled.filter("open = 0").select("doc_id", "at", "n")
+    whole = settled.filter("open = 0").select("doc_id", "version", "at", "n")
     open_ = settled.filter("open = 1")
     large = materialize(open_.groupBy("h").count().filter(F.col("count") > hot).select("h"), "suffix-hot")
-    by_doc = open_.join(large.withColumn("hot", F.lit(True)), "h", "left").groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
+    by_doc = open_.join(large.withColumn("hot", F.lit(True)), "h", "left").groupBy("doc_id", "version").agg(F.collect_list(F.struct("h", "at", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SEGMENT):
             out = []
-            for k, t, wanted in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "wanted"))):
+            for k, v, t, wanted in zip(*(batch.column(c).to_pylist() for c in ("key", "version", "text", "wanted"))):
                 raw = t.encode()
-                out += [(w["h"], k, w["at"], w["n"], w["hot"], raw[w["at"] : w["at"] + w["n"] - 1 + length]) for w in wanted]
+                out += [(w["h"], k, v, w["at"], w["n"], w["hot"], raw[w["at"] : w["at"] + w["n"] - 1 + length]) for w in wanted]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["h", "doc_id", "at", "n", "hot", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))], ["h", "doc_id", "version", "at", "n", "hot", "bytes"])
 
-    joined = docs.join(by_doc.withColumnRenamed("doc_id", "key").hint("shuffle_hash"), "key")
-    texts = joined.mapInArrow(cut, "h long, doc_id long, at long, n long, hot boolean, bytes binary")
+    joined = docs.join(by_doc.withColumnRenamed("doc_id", "key").hint("shuffle_hash"), ["key", "version"])
+    texts = joined.mapInArrow(cut, "h long, doc_id long, version long, at long, n long, hot boolean, bytes binary")
     texts = materialize(texts, "suffix-bytes")
-    cold = sort_groups(texts.filter("not hot").repartition(n, "h").sortWithinPartitions("h", "doc_id", "at").select("h", "doc_id", "at", "n", "bytes"), length)
+    cold = sort_groups(texts.filter("not hot").repartition(n, "h").sortWithinPartitions("h", "doc_id", "version", "at").select("h", "doc_id", "version", "at", "n", "bytes"), length)
     found = whole.unionByName(cold).unionByName(sort_hot(texts.filter("hot"), length))
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans")).withColumnRenamed("doc_id", "key")
+    return found.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "n")).alias("spans")).withColumnRenamed("doc_id", "key")
 
 
 def kept(text: bytes, spans: list[tuple[int, int]], length: int = LENGTH) -> tuple[bytes, int, int]:
@@ -344,7 +361,7 @@ def kept(text: bytes, spans: list[tuple[int, int]], length: int = LENGTH) -> tup
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): kept is binary, since a string may end within a character."""
-    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(_NULL_ID)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(_NULL_ID)).alias("key"), F.xxhash64(text).alias("version"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = spans(rows, length, gram, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,5 +373,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
                 out.append((None if k == _NULL_ID else k, len(raw), removed, n, hashlib.sha256(left).hexdigest(), left))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = rows.join(found.hint("shuffle_hash"), "key", "left")
+    joined = rows.join(found.hint("shuffle_hash"), ["key", "version"], "left")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

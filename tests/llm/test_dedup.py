@@ -220,3 +220,36 @@ def test_line_edges(spark, empty, clashing, corpus):
     assert out.count() == clashing.count() and set(clashing.columns) <= set(out.columns)
     nulls = spark.createDataFrame([(None, "a\nb\nc\nd\ne"), (None, None), (1, "a\nb\nc\nd\ne")], "doc_id long, text string")
     assert line_chunks.dedup(nulls).count() == 3
+
+
+def test_line_chunks_of_rows_without_or_with_repeated_ids(spark):
+    def text(*seeds):
+        return "\n".join(" ".join(words(s, 9)) for s in seeds)
+
+    shared, own = range(300, 312), [range(400 + 20 * i, 412 + 20 * i) for i in range(6)]
+    rows = [(None, text(*shared)), (None, text(*own[0], *shared)), (None, text(*own[1])), (None, text(*own[2])), (5, text(*own[3], *shared)), (5, text(*own[4])), (5, text(*own[4])), (6, text(*own[5]))]
+    out = [(r["doc_id"], r["text"], r["lines_removed"]) for r in line_chunks.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(out) == len(rows)
+    kept = Counter(line for _, t, _ in out for line in t.split("\n"))
+    assert all(kept[line] for _, t in rows for line in t.split("\n"))  # of every line one is left
+    for i in (2, 3, 5, 6, 7):
+        assert (*rows[i], 0) in out
+    assert sum(n > 0 for _, _, n in out) == 2 and 16 <= sum(n for _, _, n in out) <= 24
+
+
+def test_substring_dedup_of_rows_without_or_with_repeated_ids(spark):
+    def text(*seeds):
+        return " ".join(" ".join(words(s, 60)) for s in seeds)
+
+    rows = [(None, text(600)), (None, text(601, 600)), (None, text(602)), (None, text(603)), (5, text(604, 600)), (5, text(605)), (5, text(605)), (6, text(606))]
+    for hot in (20_000, 1):
+        out = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot).collect()
+        got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"] > 0, bytes(r["kept"]) == b"") for r in out)
+        assert len(out) == len(rows)
+        left = Counter((r["doc_id"], bytes(r["kept"]).decode()) for r in out)
+        for i in (2, 3, 5, 6, 7):
+            assert left[rows[i]] == (2 if i in (5, 6) else 1)
+        # the passage stays once, in one of the three rows
+        assert sum(text(600) in t for _, t in left) == 1
+        assert all(any(text(s) in t for _, t in left) for s in (600, 602, 603, 605, 606)) and sum(got.values()) == 8
+        assert sum(r["n_removed"] > 0 for r in out) == 2
