@@ -32,6 +32,7 @@ from mosaiq.llm.common import materialize, mix64, shuffle_partitions, slices
 
 LENGTH, GRAM, HOT = 100, 32, 20_000
 SEGMENT = 4 << 20
+_PLACE_BITS = 24  # of the places in a segment
 _NULL_ID = -(2**63)
 _BASE = 0xD1342543DE82EF95
 _U = np.uint64
@@ -157,10 +158,11 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = L
     width = length - gram + 1
     if len(data) < length:
         return none.astype(np.uint64), none.astype(np.uint64), none, none
+    assert len(data) < 1 << _PLACE_BITS, "a place has no room in its key"
     hashes = PrefixHashes(data)
     n = len(data) - gram + 1
     h = mix64((hashes.sums[gram:] - hashes.sums[:n]) * hashes.down[:n])
-    key = h >> _U(24) << _U(24) | np.arange(n, dtype=np.uint64)
+    key = h >> _U(_PLACE_BITS) << _U(_PLACE_BITS) | np.arange(n, dtype=np.uint64)
     full = -(-n // width) * width
     padded = np.full(full, np.iinfo(np.uint64).max, np.uint64)
     padded[:n] = key
@@ -180,7 +182,7 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = L
         return none.astype(np.uint64), none.astype(np.uint64), none, none
     stop = np.append(valid[1:] & ~new[1:], False)
     last = np.flatnonzero(valid & ~stop)
-    anchor = (least[first] & _U((1 << 24) - 1)).astype(np.int64)
+    anchor = (least[first] & _U((1 << _PLACE_BITS) - 1)).astype(np.int64)
     count = last - first + 1
     whole = mix64(hashes.of(first, last + length) ^ (_U(0x632BE59BD9B4E019) * (count * 256 + (anchor - first)).astype(np.uint64)))
     return h[anchor], whole, first, count
@@ -207,13 +209,15 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in slices(batches, "text", SEGMENT):
             keys, versions = batch.column("key").to_numpy(), batch.column("version").to_numpy()
             texts = [t.encode() for t in batch.column("text").to_pylist()]
-            if len(texts) > 1 or len(texts[0]) <= SEGMENT:
-                ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-                yield emit(keys, versions, np.frombuffer(b"".join(texts), np.uint8), ends - np.array([len(t) for t in texts]), ends, np.zeros(len(texts), np.int64))
-                continue
-            for low in range(0, len(texts[0]) - length + 1, SEGMENT):
-                part = np.frombuffer(texts[0][low : low + SEGMENT + length - 1], np.uint8)
-                yield emit(keys, versions, part, np.zeros(1, np.int64), np.array([len(part)]), np.array([low]))
+            size = np.array([len(t) for t in texts])
+            short = np.flatnonzero(size <= SEGMENT)  # less than SEGMENT together, but for one row
+            if len(short):
+                ends = np.cumsum(size[short], dtype=np.int64)
+                yield emit(keys[short], versions[short], np.frombuffer(b"".join(texts[i] for i in short), np.uint8), ends - size[short], ends, np.zeros(len(short), np.int64))
+            for i in np.flatnonzero(size > SEGMENT).tolist():
+                for low in range(0, len(texts[i]) - length + 1, SEGMENT):
+                    part = np.frombuffer(texts[i][low : low + SEGMENT + length - 1], np.uint8)
+                    yield emit(keys[i : i + 1], versions[i : i + 1], part, np.zeros(1, np.int64), np.array([len(part)]), np.array([low]))
 
     return docs.mapInArrow(run, "h long, run long, doc_id long, version long, at long, n int, done boolean")
 

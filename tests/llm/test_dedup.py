@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,3 +254,39 @@ def test_substring_dedup_of_rows_without_or_with_repeated_ids(spark):
         assert sum(text(600) in t for _, t in left) == 1
         assert all(any(text(s) in t for _, t in left) for s in (600, 602, 603, 605, 606)) and sum(got.values()) == 8
         assert sum(r["n_removed"] > 0 for r in out) == 2
+
+
+def test_runs_of_a_long_row_before_short_ones(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
+    monkeypatch.setattr(suffix_dedup, "_PLACE_BITS", 11)  # room for a segment, not for the long row
+    w = [words(700 + i, 500) for i in range(3)]
+    rows = {1: " ".join(w[0] + w[1] + w[0][100:400]), 2: " ".join(w[1][200:240]), 3: " ".join(w[2][:40]), 4: " ".join(w[0][450:480] + w[2][:40]), 5: " ".join(w[0])}
+    monkeypatch.setattr(suffix_dedup, "slices", lambda batches, column, most=0: batches)  # one slice, long and short rows
+    seen = []
+    runs = suffix_dedup.runs
+    monkeypatch.setattr(suffix_dedup, "runs", lambda data, *a: seen.append(len(data)) or runs(data, *a))
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            table = pa.table({"key": list(rows), "version": list(rows), "text": list(rows.values())})
+            return list(run(iter(table.to_batches())))
+
+    out = pa.Table.from_batches(suffix_dedup.anchored(Docs(), 100, 32)).to_pylist()
+    assert max(seen) < 1 << 11 and len(rows[1]) > 1 << 11
+    strings = [(r["doc_id"], r["at"] + i) for r in out for i in range(r["n"])]
+    assert sorted(strings) == [(k, i) for k, t in rows.items() for i in range(len(t) - 99)]
+    anchors = defaultdict(set)  # equal strings meet under one anchor, but for the runs that are settled
+    for r in out:
+        if not r["done"]:
+            for i in range(r["n"]):
+                anchors[rows[r["doc_id"]][r["at"] + i : r["at"] + i + 100]].add(r["h"])
+    assert all(len(h) == 1 for h in anchors.values())
+
+
+def test_substring_dedup_of_a_very_long_row_equals_brute_force(spark):
+    r = random.Random(4)
+    parts = ["".join(r.choices("abcdefghijklmnop", k=300)) for _ in range(3)]
+    long = "".join(r.choices("abcdefghijklmnop", k=17_200_000)) + parts[0] + "-" + parts[1]
+    rows = [(1, long), (2, "x" + parts[0]), (3, parts[1] + "y"), (4, parts[2]), (5, "z" + parts[2])]
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"]) for x in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {1: (len(long), 0), 2: (301, 300), 3: (301, 300), 4: (300, 0), 5: (301, 300)}
