@@ -290,3 +290,34 @@ def test_substring_dedup_of_a_very_long_row_equals_brute_force(spark):
     rows = [(1, long), (2, "x" + parts[0]), (3, parts[1] + "y"), (4, parts[2]), (5, "z" + parts[2])]
     got = {x["doc_id"]: (x["n_bytes"], x["n_removed"]) for x in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
     assert got == {1: (len(long), 0), 2: (301, 300), 3: (301, 300), 4: (300, 0), 5: (301, 300)}
+
+
+def jaccard(a, b):
+    a, b = set(a.tolist()), set(b.tolist())
+    return len(a & b) / len(a | b)
+
+
+def test_passages_equal_brute_force_near_the_threshold():
+    least = 46
+    r = np.random.default_rng(8)
+    valid = 0
+    for case in range(120):
+        x = r.permutation(10_000)[: int(r.integers(46, 220))].astype("<u4")
+        y = x.copy()
+        for block in range(0, len(x), 46):  # five to seven strange shingles in each stretch, in runs as words changed make them
+            for at in r.integers(block, block + 46, r.integers(1, 3)):
+                n = int(r.integers(2, 6))
+                y[at : at + n] = r.integers(20_000, 60_000, len(y[at : at + n]))
+        if case % 3 == 1:  # one inserted
+            y = np.insert(y, int(r.integers(0, len(y))), 70_000).astype("<u4")
+        if case % 4 == 1:  # a shingle of the passage once more, far away
+            y = np.concatenate([y, np.arange(80_000, 80_040, dtype="<u4"), x[20:21]])
+        found = list(compact_windows.passages(x, y, least, 0.8))
+        for x0, x1, y0, y1, s in found:
+            assert s >= 0.8 and s == jaccard(x[x0:x1], y[y0:y1])
+        for at in range(len(x) - least + 1):
+            if any(jaccard(x[at : at + least], y[t : t + least]) >= 0.8 for t in range(max(0, at - 3), min(at + 4, len(y) - least + 1))):
+                valid += 1
+                # the ends of a passage that the other has not are left off
+                assert any(x0 - 6 <= at and at + least <= x1 + 6 for x0, x1, *_ in found), (case, at, found)
+    assert valid > 500
