@@ -7,7 +7,8 @@ counts at unit length. Training is by dual coordinate descent on a bounded sampl
 `per_language` rows of a language, chosen by a hash of the id.
 
 A text that is null or has no letter is `und` with score 0. Rows without a label, with a null id or without letters
-are not learned from. Without any labelled row every prediction is `und`. Ties go to the first language by name.
+are not learned from. With `least_margin` a text whose best family margin is less is `und` with score 0 too: it looks
+like no family. A model of one family has no margins and rejects nothing. Without any labelled row every prediction is `und`. Ties go to the first language by name.
 Repeated rows are predicted alike; very long texts are counted whole; an empty table gives an empty result; only the
 id, text and label columns are read.
 """
@@ -122,6 +123,11 @@ class LanguageModel:
         return won, float(_logistic(2 * lead) * sure)
 
 
+    def margin(self, x: np.ndarray) -> float:
+        """The best family's margin: about 1 for a text like those learned from, about 0 for one that no family explains."""
+        return float((self.family_weights @ np.append(x, np.float32(1))).max()) if len(self.families) > 1 else np.inf
+
+
 def _logistic(z: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
@@ -152,15 +158,20 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     return LanguageModel.fit(np.array([np.frombuffer(r["x"], np.float32) for r in rows]), [r["lang"] for r in rows])
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", least_margin: float | None = None) -> DataFrame:
+    """docs with lang_pred and score; texts with a family margin below least_margin are undetermined."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = StructType([*(docs.schema[c] for c in columns), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
+    def one(t: str | None) -> tuple[str, float]:
+        if shared.value is None or (x := features(t)) is None or least_margin is not None and shared.value.margin(x) < least_margin:
+            return UNDETERMINED, 0.0
+        return shared.value.predict(x)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
-            found = [(UNDETERMINED, 0.0) if shared.value is None or (x := features(t)) is None else shared.value.predict(x) for t in batch.column("__text").to_pylist()]
+            found = [one(t) for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*columns, "lang_pred", "score"])
 
     return docs.select(*columns, F.col(text).alias("__text")).mapInArrow(run, schema)

@@ -1,5 +1,8 @@
+import random
+
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -43,3 +46,14 @@ def test_pipeline_over_a_table(spark):
 def test_contract_queries_run(spark, name):
     df = queries.queries()[name](spark, SF)
     assert "doc_id" in df.columns and df.count() > 0
+
+
+def test_language_stage_rejects_gibberish_and_keeps_clean_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    r = random.Random(5)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "qxzjkvw", "".join(map(chr, range(0xE01, 0xE2F))), "".join(map(chr, range(0x4E00, 0x5000)))]
+    planted = [(10**9 + i, " ".join("".join(r.choices(kinds[i % 4], k=r.randint(2, 10))) for _ in range(r.choice([40, 100, 400])))) for i in range(80)]
+    rows = spark.createDataFrame(planted, "doc_id long, text string").select("doc_id", "text", *(F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns if c not in ("doc_id", "text")))
+    kept = {x["doc_id"] for x in corpus_pipeline.language_id(spark, docs.unionByName(rows), SF).select("doc_id").collect()}
+    clean = {x["doc_id"] for x in docs.filter("text is not null and lang is not null").select("doc_id").collect()}
+    assert clean <= kept and not kept & {k for k, _ in planted}
