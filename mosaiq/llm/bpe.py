@@ -61,13 +61,40 @@ def plain(text: str) -> bool:
     return text[:1] not in (",", ".") and not _NOT_PLAIN.search(text)
 
 
-def ids_of_chunks(split: pa.Array, memory: Memory, make) -> tuple[np.ndarray, np.ndarray]:
+class ChunkIds:
+    """The ids of chunks as arrays. Beyond `most` chunks, those older than the newest half go, but for those just used."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most, self.known = most, pa.array([], pa.large_string())
+        self.values, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def rows(self, chunks: pa.Array, make) -> np.ndarray:
+        """Where each of the (distinct) chunks is in the table; make gives the ids of a new one."""
+        at = pc.index_in(chunks, value_set=self.known)
+        new = chunks.filter(pc.is_null(at))
+        rows = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            each = [make(c) for c in new.to_pylist()]
+            size = np.fromiter(map(len, each), np.int64, len(each))
+            rows[rows < 0] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            self.values = np.concatenate([self.values, np.fromiter(chain.from_iterable(each), np.int32, int(size.sum()))])
+            self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(size))
+        if len(self.known) > self.most:
+            keep = np.arange(len(self.known)) >= len(self.known) - self.most // 2
+            keep[rows] = True
+            place = np.cumsum(keep) - 1
+            self.known = self.known.filter(pa.array(keep))
+            self.values, self.bounds = ragged_take(self.values, self.bounds, np.flatnonzero(keep))
+            rows = place[rows]
+        return rows
+
+
+def ids_of_chunks(split: pa.Array, memory: ChunkIds, make) -> tuple[np.ndarray, np.ndarray]:
     """(ids, bounds) of lists of chunks; make gives the ids of a chunk."""
     coded = split.values.dictionary_encode()
-    each = memory.look_up(coded.dictionary.to_pylist(), make)
-    size = np.fromiter(map(len, each), np.int64, len(each))
-    values = np.fromiter(chain.from_iterable(each), np.int32, int(size.sum()))
-    ids, at = ragged_take(values, np.concatenate([[0], np.cumsum(size)]), coded.indices.to_numpy(zero_copy_only=False))
+    rows = memory.rows(coded.dictionary, make)
+    ids, at = ragged_take(memory.values, memory.bounds, rows[coded.indices.to_numpy(zero_copy_only=False)])
     return ids, at[split.offsets.to_numpy()]
 
 
@@ -113,7 +140,7 @@ class ForcedBoundaryBPE:
         self.tokens, self.numbers = tokens, np.array([str(i) for i in range(n)], object)
         self.byte_decoder = (described.get("decoder") or {}).get("type") == "ByteLevel"
         self.fragments = Memory(REMEMBERED // 5)
-        self.chunks = Memory()
+        self.chunks = ChunkIds()
 
     def split(self, word: str) -> list[str]:
         """The fragments of a word of byte symbols between certain cuts."""

@@ -1,13 +1,15 @@
 """Token-id files compressed by a Re-Pair grammar.
 
-Documents are dealt into shards by ascending id. A shard is a sequence of blocks of about BLOCK_TOKENS ids (whole
-documents). In each block frequent neighbouring pairs are replaced by nonterminals in rounds: a round counts all pairs,
-takes every pair seen MIN_COUNT times or more, and replaces the occurrences that no more frequent neighbouring pair
-overlaps. Rules never join ids of two documents. A block stores its symbols, rules, expansion lengths and the ids and
-symbols of each document, so any range of any document is decoded without expanding the rest.
+Documents are dealt by ascending id into ranges, one file each; a range is a sequence of shards of about SHARD_TOKENS ids
+(whole documents). Each shard has a grammar of its own: its most frequent neighbouring pairs are replaced by
+nonterminals, round after round, until no pair can be replaced MIN_COUNT times. A round replaces every pair that no more
+frequent pair overlaps at that place. Rules never join ids of two documents. A shard stores its symbols, rules, expansion
+lengths, its first and last document id and the ids and symbols of each document, so any range of any document is decoded
+from the one shard that holds it, without expanding the rest.
 
 Files are Parquet with binary payloads, written by Spark's committer. A null text counts as empty and holds the end id
-only; null ids sort first; equal ids are ordered by text; an empty table gives no files' rows.
+only; null ids sort first; equal ids are ordered by text; repeated rows are written as often as they come; an empty table
+gives no rows; only the id and text columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -23,14 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mosaiq.llm.bpe import _LETTERS, UNUSUAL, Memory, byte_symbols, ids_of_chunks, loaded, plain, vocabulary
-from mosaiq.llm.common import shuffle_partitions, slices
+from mosaiq.llm.bpe import _LETTERS, UNUSUAL, ChunkIds, byte_symbols, ids_of_chunks, loaded, plain, vocabulary
+from mosaiq.llm.common import ragged_take, shuffle_partitions, slices
 
 END_ID = 2
-BLOCK_TOKENS = 1 << 20
-ROUNDS = 2
-MIN_COUNT = 16
-SCHEMA = "shard int, block int, start long, n_tokens long, base long, doc_ids array<long>, doc_tokens array<int>, doc_symbols array<int>, symbols binary, rules binary, lengths binary"
+SHARD_TOKENS = 1 << 20
+#: A rule costs two symbols and a length, so a pair must be replaced four times to pay.
+MIN_COUNT = 4
+_BUCKET_BITS = 20
+SCHEMA = "range int, shard int, first_id long, last_id long, start long, n_tokens long, base long, doc_ids array<long>, doc_tokens array<int>, doc_symbols array<int>, symbols binary, rules binary, lengths binary"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 
 
@@ -45,7 +48,7 @@ class LibraryEncoder:
         self.library.no_padding()
         self.table = {i: s for i, s in enumerate(byte_symbols())}
         self.n_ids = self.library.get_vocab_size(with_added_tokens=True)
-        self.chunks = Memory()
+        self.chunks = ChunkIds()
 
     def chunk_ids(self, chunk: str) -> tuple[int, ...]:
         if (chunk[1:] if chunk[:1] == " " else chunk).isalpha():  # one word: one piece
@@ -78,56 +81,79 @@ class LibraryEncoder:
         return ids, bounds
 
 
-def compress(ids: np.ndarray, base: int, end: int = END_ID, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules of shape (n, 2), expansion lengths): nonterminals count from base on."""
+def compress(ids: np.ndarray, base: int, end: int = END_ID, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules of shape (n, 2), expansion lengths): nonterminals count from base on.
+
+    Counts are kept by buckets of a hash, which can only overrate a pair; what is replaced has been counted exactly. A
+    pair below min_count never rises again, so a round looks at the places that are still open and at changed ones only.
+    """
     s = ids.astype(np.uint32)
-    rules, size = [np.zeros((0, 2), np.uint32)], [np.zeros(0, np.int64)]
-    top = base
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
-        a, b = s[:-1], s[1:]
-        mixed = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(12)
-        often = np.bincount(mixed, minlength=1 << 20)[mixed] >= min_count
-        often &= (a != end) & (b != end)
-        at = np.flatnonzero(often)
-        if not len(at):
-            break
-        pairs, which, count = np.unique(a[at].astype(np.uint64) << np.uint64(32) | b[at], return_inverse=True, return_counts=True)
-        order = np.lexsort((pairs, -count))
-        rank_of = np.empty(len(pairs), np.int64)
-        rank_of[order] = np.arange(len(pairs))
-        rank_of[count < min_count] = len(pairs)
-        rank = np.full(len(s) + 1, len(pairs), np.int64)
-        rank[at + 1] = rank_of[which]
-        here, left, right = rank[1:-1], rank[:-2], np.append(rank[2:-1], len(pairs))
-        chosen = np.flatnonzero((here < len(pairs)) & (here < left) & (here <= right))
-        used, new = np.unique(rank[chosen + 1], return_inverse=True)
-        if not len(used):
+    rules, size = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
+    top, open_, first = base, np.arange(len(s) - 1), np.empty(1 << _BUCKET_BITS, np.uint64)
+    while len(open_):
+        bits = min(_BUCKET_BITS, int(len(open_)).bit_length() + 1)
+        a, b = s[open_], s[open_ + 1]
+        bucket = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
+        count = np.bincount(bucket, minlength=1 << bits)[bucket]
+        often = (count >= min_count) & (a != end) & (b != end)
+        open_, rank = open_[often], count[often] << bits | bucket[often]
+        if not len(open_):
             break
-        pair = pairs[order][used]
-        rule = np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
-        s = s.copy()
-        s[chosen] = (top + new).astype(np.uint32)
+        touches = np.append(False, open_[1:] == open_[:-1] + 1)
+        left = np.where(touches, np.append(0, rank[:-1]), 0)
+        right = np.where(np.append(touches[1:], False), np.append(rank[1:], 0), 0)
+        i = np.arange(len(open_))
+        run = np.maximum.accumulate(np.where(left == rank, 0, i))  # of one pair over and over: every other place
+        best = np.flatnonzero((rank >= right) & ((i - run) % 2 == 0) & (rank > left[run]))
+        at, box = open_[best], rank[best] & ((1 << bits) - 1)
+        pair = s[at].astype(np.uint64) << np.uint64(32) | s[at + 1]
+        first[box[::-1]] = pair[::-1]
+        own = pair == first[box]  # of two pairs in a bucket the later one waits
+        count = np.bincount(box[own], minlength=1 << bits)
+        use = own & (count[box] >= min_count)
+        if not use.any():  # held up by pairs that share a bucket: go on without what is rare by itself, else without these places
+            _, which, n = np.unique(s[open_].astype(np.uint64) << np.uint64(32) | s[open_ + 1], return_inverse=True, return_counts=True)
+            often = n[which] >= min_count
+            open_ = np.delete(open_, best) if often.all() else open_[often]
+            continue
+        new = np.flatnonzero(count >= min_count)
+        rule = np.stack([first[new] >> np.uint64(32), first[new] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        name = np.empty(1 << bits, np.uint32)
+        name[new] = top + np.arange(len(new))
+        at = at[use]
+        s[at] = name[box[use]]
         keep = np.ones(len(s), bool)
-        keep[chosen + 1] = False
+        keep[at + 1] = False
+        place = np.cumsum(keep, dtype=np.int32) - 1
         s = s[keep]
-        known = np.concatenate(size)
-        size.append(np.where(rule >= base, known[np.maximum(rule.astype(np.int64) - base, 0)] if len(known) else 1, 1).sum(1))
+        live = np.zeros(len(s) + 1, bool)
+        live[place[open_[keep[open_]]]] = True
+        live[place[at]] = True
+        live[place[at] - 1] = True
+        open_ = np.flatnonzero(live[: max(len(s) - 1, 0)])
+        size = np.append(size, np.where(rule >= base, np.append(size, 0)[np.maximum(rule.astype(np.int64) - base, 0)], 1).sum(1))
         rules.append(rule)
-        top += len(used)
-    return s, np.concatenate(rules), np.concatenate(size)
+        top += len(new)
+    return s, np.concatenate(rules), size
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    s = symbols.astype(np.int64)
-    while len(at := np.flatnonzero(s >= base)):
-        out = np.repeat(s, 1 + (s >= base))
+    """The ids of symbols: the rules' right sides are expanded level by level, the symbols are looked up in them."""
+    parts, size = rules.ravel().astype(np.int64), np.full(len(rules), 2)
+    while len(at := np.flatnonzero(parts >= base)):  # none without rules
+        wide = np.ones(len(parts), np.int64)
+        wide[at] = 2
+        size = np.add.reduceat(wide, np.cumsum(size) - size)
+        out = np.repeat(parts, wide)
         first = at + np.arange(len(at))
-        rule = rules[s[at] - base]
+        rule = rules[parts[at] - base]
         out[first], out[first + 1] = rule[:, 0], rule[:, 1]
-        s = out
-    return s.astype(np.uint32)
+        parts = out
+    s = symbols.astype(np.int64)
+    used = np.unique(s[s < base])  # terminals stand for themselves
+    rows = np.where(s < base, len(size) + np.searchsorted(used, s), s - base)
+    bounds = np.concatenate([[0], np.cumsum(np.append(size, np.ones(len(used), np.int64)))])
+    return ragged_take(np.append(parts, used), bounds, rows)[0].astype(np.uint32)
 
 
 def expand_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int, start: int, stop: int) -> np.ndarray:
@@ -148,7 +174,7 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.frombuffer(x, "<u4" if x[:1] == b"4" else "<u2", offset=1).astype(np.uint32)
 
 
-def write(docs: DataFrame, target: str, vocabulary_path: str, key: str = "doc_id", text: str = "text", end: int = END_ID, block_tokens: int = BLOCK_TOKENS, shards: int | None = None) -> None:
+def write(docs: DataFrame, target: str, vocabulary_path: str, key: str = "doc_id", text: str = "text", end: int = END_ID, shard_tokens: int = SHARD_TOKENS, ranges: int | None = None) -> None:
     """Encode every document and write the files under target."""
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(vocabulary(vocabulary_path))
@@ -156,38 +182,40 @@ def write(docs: DataFrame, target: str, vocabulary_path: str, key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard = loaded(LibraryEncoder, spec.value), TaskContext.get().partitionId()
-        block, start, held = 0, 0, 0
+        encoder, part = loaded(LibraryEncoder, spec.value), TaskContext.get().partitionId()
+        shard, start, held = 0, 0, 0
         keys: list = []
         parts: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal block, start, held
+            nonlocal shard, start, held
             ids, size = np.concatenate(parts), np.concatenate(sizes)
             base = encoder.n_ids
             symbols, rules, lengths = compress(ids, base, end)
-            ends = np.flatnonzero(symbols == end) if end not in ids[np.delete(np.arange(len(ids)), np.cumsum(size) - 1)] else _document_ends(symbols, lengths, base, size)
-            row = [shard, block, start, len(ids), base, list(keys), size.tolist(), np.diff(ends, prepend=-1).tolist(), _packed(symbols), _packed(rules.ravel()), _packed(lengths)]
-            block, start, held = block + 1, start + len(ids), 0
+            ends = np.flatnonzero(symbols == end)
+            if len(ends) != len(size):  # a text holds the end id itself
+                ends = _document_ends(symbols, lengths, base, size)
+            row = [part, shard, keys[0], keys[-1], start, len(ids), base, list(keys), size.tolist(), np.diff(ends, prepend=-1).tolist(), _packed(symbols), _packed(rules.ravel()), _packed(lengths)]
+            shard, start, held = shard + 1, start + len(ids), 0
             for x in (keys, parts, sizes):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()))], [c.split()[0] for c in SCHEMA.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()))], [c.split()[0] for c in SCHEMA.split(", ")])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 8 << 20):
             ids, bounds = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             ids, size = np.insert(ids, bounds[1:], end), np.diff(bounds) + 1
             keys += batch.column("key").to_pylist()
             parts.append(ids)
             sizes.append(size)
             held += len(ids)
-            if held >= block_tokens:
+            if held >= shard_tokens:
                 yield flush()
         if held:
             yield flush()
 
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange(shards or shuffle_partitions(spark), "key").sortWithinPartitions("key", "text")
+    dealt = rows.repartitionByRange(ranges or shuffle_partitions(spark), "key").sortWithinPartitions("key", "text")
     dealt.mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(target)
 
 
@@ -198,7 +226,7 @@ def _document_ends(symbols: np.ndarray, lengths: np.ndarray, base: int, size: np
 
 
 def read(spark: SparkSession, target: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, and its shard, block and symbols."""
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, and its range, shard and symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,21 +238,22 @@ def read(spark: SparkSession, target: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), size.tolist())]
                 n = len(size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + ends - size, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array([r["shard"]] * n, pa.int32()), pa.array([r["block"]] * n, pa.int32()), pa.array(r["doc_symbols"], pa.int32())],
-                    ["doc_id", "at", "n_tokens", "ids_crc32", "shard", "block", "n_symbols"],
+                    [pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + ends - size, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array([r["range"]] * n, pa.int32()), pa.array([r["shard"]] * n, pa.int32()), pa.array(r["doc_symbols"], pa.int32())],
+                    ["doc_id", "at", "n_tokens", "ids_crc32", "range", "shard", "n_symbols"],
                 )
 
-    blocks = spark.read.schema(SCHEMA).parquet(target)
-    totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))  # a row a shard
-    docs = blocks.mapInArrow(run, "doc_id long, at long, n_tokens long, ids_crc32 long, shard int, block int, n_symbols int")
-    return docs.join(starts, "shard").select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard", "block", "n_symbols")
+    stored = spark.read.schema(SCHEMA).parquet(target)
+    totals = stored.groupBy("range").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("range_start"))  # a row a file
+    docs = stored.mapInArrow(run, "doc_id long, at long, n_tokens long, ids_crc32 long, range int, shard int, n_symbols int")
+    return docs.join(starts, "range").select("doc_id", (F.col("range_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "range", "shard", "n_symbols")
 
 
 def tokens_at(spark: SparkSession, target: str, doc_id: int, start: int, n: int) -> list[int]:
-    """ids start to start+n of one document, decoded from its block alone."""
-    row = spark.read.schema(SCHEMA).parquet(target).filter(F.array_contains("doc_ids", F.lit(doc_id).cast("bigint"))).first()
+    """ids start to start+n of one document, decoded from its shard alone, which the first and last ids of the shards tell."""
+    wanted = F.lit(doc_id).cast("bigint")
+    row = spark.read.schema(SCHEMA).parquet(target).filter((F.coalesce("first_id", F.lit(-(2**63))) <= wanted) & (F.col("last_id") >= wanted)).filter(F.array_contains("doc_ids", wanted)).first()
     if row is None:
         raise KeyError(doc_id)
     i = row["doc_ids"].index(doc_id)

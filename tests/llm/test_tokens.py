@@ -1,7 +1,9 @@
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -54,7 +56,7 @@ def test_token_files(spark, corpus, texts, tmp_path):
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     target = str(tmp_path / "ids")
-    token_store.write(corpus, target, path, block_tokens=2000, shards=3)
+    token_store.write(corpus, target, path, shard_tokens=2000, ranges=3)
     rows = {r["doc_id"]: r for r in token_store.read(spark, target).collect()}
     start = 0
     for k in sorted(texts):
@@ -73,7 +75,7 @@ def test_repair_round_trip_with_end_ids_inside():
     ids = r.integers(3, 9, 5000).astype(np.int32)
     ids[99::100] = 2
     ids[7] = 2  # a text that holds the end id
-    symbols, rules, lengths = token_store.compress(ids, 100, rounds=4, min_count=4)
+    symbols, rules, lengths = token_store.compress(ids, 100)
     assert len(rules) and len(symbols) < len(ids)
     assert (token_store.expand(symbols, rules, 100) == ids).all()
     for a, b in ((0, 5000), (10, 11), (123, 4567), (4990, 5000)):
@@ -84,6 +86,49 @@ def test_repair_round_trip_with_end_ids_inside():
 def test_empty_and_clashing(spark, empty, clashing, word_path, tmp_path):
     assert bpe.encode(empty, word_path).count() == 0
     assert bpe.encode(clashing, word_path).count() == clashing.count()
+    target = str(tmp_path / "clashing")
+    token_store.write(clashing, target, P.path("byte_bpe_50k.json"))
+    assert token_store.read(spark, target).count() == clashing.count()
     target = str(tmp_path / "none")
     token_store.write(empty, target, P.path("byte_bpe_50k.json"))
     assert token_store.read(spark, target).count() == 0
+
+
+def test_grammar_goes_on_to_its_end():
+    r = np.random.default_rng(5)
+    pieces = [r.integers(3, 400, n) for n in r.integers(2, 40, 60)]
+    ids = np.concatenate([np.append(pieces[i], 2) for i in r.integers(0, 60, 3000)])
+    symbols, rules, lengths = token_store.compress(ids, 1000)
+    assert (token_store.expand(symbols, rules, 1000) == ids).all()
+    assert lengths.max() > 20
+    pairs = [(a, b) for a, b in zip(symbols.tolist(), symbols[1:].tolist()) if 2 not in (a, b)]
+    assert max(Counter(pairs).values(), default=0) < token_store.MIN_COUNT
+    same = np.full(5000, 7)
+    symbols, rules, _ = token_store.compress(same, 10)
+    assert len(symbols) < 20 and (token_store.expand(symbols, rules, 10) == same).all()
+
+
+def test_token_files_with_repeated_and_null_ids(spark, tmp_path):
+    rows = [(5, "b b"), (5, "a a a"), (None, "n"), (5, "a a a"), (7, None), (None, "m")]
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want, start = [], 0
+    for k, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        n = len(library.encode(text or "", add_special_tokens=False).ids) + 1
+        want.append((k, start, n))
+        start += n
+    for parts in (1, 3):
+        target = str(tmp_path / f"repeats{parts}")
+        token_store.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), target, P.path("byte_bpe_50k.json"))
+        got = [(r["doc_id"], r["start"], r["n_tokens"]) for r in token_store.read(spark, target).orderBy("start").collect()]
+        assert got == want
+    assert token_store.tokens_at(spark, target, 7, 0, 9) == [2]
+
+
+def test_chunk_table_forgets():
+    table = bpe.ChunkIds(most=10)
+    for low in range(0, 200, 7):
+        chunks = [str(i) for i in range(low, low + 9)]
+        rows = table.rows(pa.array(chunks, pa.large_string()), lambda c: (int(c),) * (int(c) % 3))
+        for c, row in zip(chunks, rows):
+            assert table.values[table.bounds[row] : table.bounds[row + 1]].tolist() == [int(c)] * (int(c) % 3)
+    assert len(table.known) <= 25
