@@ -34,7 +34,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 UNUSUAL = re.compile(f"[^\n -~{_LETTERS}]|<\\|")
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 #: Texts with none of these have full stops and commas only after a letter or digit.
-_NOT_PLAIN = re.compile(f"[^\n ,.{_LETTERS}0-9]|[\n ,.][,.]")
+_NOT_PLAIN = f"^[,.]|[^\n ,.{_LETTERS}0-9]|[\n ,.][,.]"
 _LOADED: dict[str, object] = {}
 
 
@@ -57,8 +57,8 @@ class Memory:
         return out
 
 
-def plain(text: str) -> bool:
-    return text[:1] not in (",", ".") and not _NOT_PLAIN.search(text)
+def plain(texts: list[str]) -> list[bool]:
+    return pc.invert(pc.match_substring_regex(pa.array(texts, pa.large_string()), _NOT_PLAIN)).to_pylist()
 
 
 class ChunkIds:
@@ -227,7 +227,7 @@ class ForcedBoundaryBPE:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, bounds)."""
-        simple = [plain(t) for t in texts]
+        simple = plain(texts)
         usual = [p or not UNUSUAL.search(t) for p, t in zip(simple, texts)]
         short = [t.lower().replace("\n", " ") if u else "" for t, u in zip(texts, usual)]
         split = pc.split_pattern(pa.array([t.replace(".", " .").replace(",", " ,") if p else t for t, p in zip(short, simple)], pa.large_string()), " ")

@@ -69,7 +69,7 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, bounds). The mark \x02 stands where a chunk begins."""
-        simple = [plain(t) for t in texts]
+        simple = plain(texts)
         usual = [self.usual(t, p) for t, p in zip(texts, simple)]
         short = [t.replace(" ", "\x02 ").replace("\n", "\x02\n\x02") if u else "" for t, u in zip(texts, usual)]
         split = pc.split_pattern(pa.array([s.replace(".", "\x02.").replace(",", "\x02,") if u and p else s for s, u, p in zip(short, usual, simple)], pa.large_string()), "\x02")
@@ -202,7 +202,7 @@ def write(docs: DataFrame, target: str, vocabulary_path: str, key: str = "doc_id
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()))], [c.split()[0] for c in SCHEMA.split(", ")])
 
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text"):
             ids, bounds = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             ids, size = np.insert(ids, bounds[1:], end), np.diff(bounds) + 1
             keys += batch.column("key").to_pylist()

@@ -46,15 +46,15 @@ def family(seed, n, size=120):
     return out
 
 
-@pytest.mark.parametrize("small,depth,block", [(512, 2, 512), (4, 2, 8), (1, 1, 3)])
-def test_jaccard_join_equals_brute_force(spark, texts, small, depth, block):
+@pytest.mark.parametrize("small,block", [(512, 512), (4, 8), (2, 3)])
+def test_jaccard_join_equals_brute_force(spark, texts, small, block):
     rows = dict(texts) | {100 + i: t for i, t in enumerate(family(77, 30) + family(78, 9) + [texts[0]] * 3)}
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in chosen_path.join(df, small=small, depth=depth, block=block).collect()}
+    got = {r["doc_id"]: r for r in chosen_path.join(df, small=small, block=block).collect()}
     links, classes = brute_links(rows)
     assert {k: r["n_links"] for k, r in got.items()} == {k: links[k] for k in rows}
     assert {k: r["class_id"] for k, r in got.items()} == classes
-    kept = {r["doc_id"] for r in chosen_path.one_of_each(df, small=small, depth=depth, block=block).collect()}
+    kept = {r["doc_id"] for r in chosen_path.one_of_each(df, small=small, block=block).collect()}
     assert kept == set(classes.values())
 
 
@@ -69,6 +69,58 @@ def test_jaccard_join_edges(spark, corpus, empty, clashing):
     assert chosen_path.join(repeated).count() == repeated.count()
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_jaccard_join_with_repeated_and_null_ids(spark, parts):
+    near = family(31, 6)
+    rows = [(1, near[0]), (2, near[1]), (2, " ".join(words(90, 60))), (3, near[2]), (3, near[2]), (3, " ".join(words(91, 60))), (None, near[3]), (4, near[0]), (None, None), (5, None), (5, "")]
+    s = [shingles(t) for _, t in rows]
+    want = []
+    for i, (k, _) in enumerate(rows):
+        near_rows = [j for j in range(len(rows)) if k is not None and rows[j][0] is not None and s[i] and s[j] and len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j]) - 1e-9]
+        want.append((k, min((rows[j][0] for j in near_rows), default=k), max(0, len(near_rows) - 1)))
+    got = chosen_path.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+    order = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got), key=order) == sorted(want, key=order)
+    kept = chosen_path.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted((r for r, w in zip(rows, want) if r[0] is None or w[0] == w[1]), key=str)
+
+
+def test_recursion_divides_texts_that_share_a_frequent_shingle(spark):
+    """400 texts with one common line and little else in common, among them 12 pairs of near copies."""
+    line = words(50, 30)
+    rows = {i: " ".join(line + words(1000 + i, 8)) for i in range(400)}
+    for i in range(12):
+        rows[500 + i] = rows[i] + " more"
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    hashed = chosen_path._rows(df, "doc_id", "text")
+    sets = chosen_path.paths(hashed, 8, 5).groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("weight"), F.first("path").alias("path")).withColumn("rep", F.col("first_id"))
+    sizes = {r["bucket"]: r["n"] for r in chosen_path.buckets(sets, hashed, 8, 2, 5).collect()}
+    assert max(sizes.values()) > 300  # 26 of 34 shingles are common: these texts are alike
+    links, classes = brute_links(rows)
+    got = {r["doc_id"]: r for r in chosen_path.join(df, small=8, block=64).collect()}
+    assert {k: r["n_links"] for k, r in got.items()} == {k: links[k] for k in rows}
+
+    short = {i: " ".join(line[:8] + words(1000 + i, 40)) for i in range(400)}  # 4 common shingles of 44
+    for i in range(12):
+        short[500 + i] = short[i] + " more"
+    df = spark.createDataFrame(list(short.items()), "doc_id long, text string")
+    hashed = chosen_path._rows(df, "doc_id", "text")
+    sets = chosen_path.paths(hashed, 60, 5).groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("weight"), F.first("path").alias("path")).withColumn("rep", F.col("first_id"))
+    first = sets.select(F.explode("path").alias("bucket")).groupBy("bucket").count().agg(F.max("count")).first()[0]
+    sizes = {r["bucket"]: r["n"] for r in chosen_path.buckets(sets, hashed, 8, 2, 5).collect()}
+    assert first > 20 and max(sizes.values()) < 20
+    links, _ = brute_links(short)
+    got = {r["doc_id"]: r for r in chosen_path.join(df, small=8).collect()}
+    assert {k: r["n_links"] for k, r in got.items()} == {k: links[k] for k in short}
+
+
+def test_runs_reach_the_recall():
+    for threshold in (0.5, 0.8, 0.9):
+        b = chosen_path.branches_for(threshold)
+        assert (1 - chosen_path.survival(threshold, b)) ** chosen_path.runs_for(threshold, 0.999) <= 0.001
+    assert chosen_path.survival(0.8, 2) > 0.7
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 107), (107, 103), (200, 200)] + [(r.randint(300, 330), r.randint(300, 330)) for _ in range(40)]
