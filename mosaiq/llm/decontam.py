@@ -6,13 +6,16 @@ is. One automaton finds all exact pieces; a piece hit gives a window, which the
 bit-parallel distance decides. Whole texts are searched.
 
 Items are a stated query set: they are taken in blocks of at most `block_chars` characters, each sent to all
-executors, and every document is searched for every block. Null and empty items match nothing, null and empty texts
+executors, where a Python worker keeps its automaton. Every document is searched for every block, one pass a block side
+by side; `remove` filters in that pass if there is one block, else by the hashes of the texts that were hit. Null and empty items match nothing, null and empty texts
 have no match; equal items are separate items; repeated rows are searched alike; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -126,35 +129,59 @@ def blocks(benchmark: DataFrame, key: str, text: str, block_chars: int) -> list[
         yield [(r["k"], r["t"]) for r in part.orderBy("k", "t").collect()]  # about block_chars characters
 
 
+_KEPT: dict[tuple, Matcher] = {}
+
+
+def matcher_of(items: list[tuple[int, str]], error_rate: float, name: str) -> Matcher:
+    """The block's matcher; a Python worker keeps the last one."""
+    if (name, error_rate) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name, error_rate] = Matcher(items, error_rate)
+    return _KEPT[name, error_rate]
+
+
+def _passes(rows: DataFrame, benchmark: DataFrame, item_key: str, item_text: str, error_rate: float, block_chars: int, emit, schema) -> list[DataFrame]:
+    """For each block of items a pass of emit(matcher, batch) over the rows."""
+    out = []
+    for items in blocks(benchmark, item_key, item_text, block_chars):
+        shared, name = rows.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "__text"):
+                yield emit(matcher_of(shared.value, error_rate, name), batch)
+
+        out.append(rows.mapInArrow(run, schema))
+    return out
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and item that occurs in it; start and end count characters of the normal text."""
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    found = None
-    for items in blocks(benchmark, item_key, item_text, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, error_rate)
-            for batch in slices(batches, "text"):
-                out = [(k, *m) for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()) for m in matcher.find(t)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()))], [c.split()[0] for c in MATCHES.split(", ")])
+    def emit(matcher: Matcher, batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [(k, *m) for k, t in zip(batch.column("key").to_pylist(), batch.column("__text").to_pylist()) for m in matcher.find(t)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, types)], [c.split()[0] for c in MATCHES.split(", ")])
 
-        part = rows.mapInArrow(run, MATCHES)
-        found = part if found is None else found.unionByName(part)
-    return found
+    return _union(_passes(docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("__text")), benchmark, item_key, item_text, error_rate, block_chars, emit, MATCHES))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs without the documents in which an item occurs."""
-    columns, schema = docs.columns, docs.schema
-    for items in blocks(benchmark, item_key, item_text, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, error_rate)
-            for batch in slices(batches, text):
-                yield batch.filter(pa.array([not matcher.find(t) for t in batch.column(text).to_pylist()], pa.bool_())).select(columns)
+    def keep(matcher: Matcher, batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([not matcher.find(t) for t in batch.column("__text").to_pylist()], pa.bool_())).select(docs_columns)
+
+    def hits(matcher: Matcher, batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([bool(matcher.find(t)) for t in batch.column("__text").to_pylist()], pa.bool_())).select(["__sha"])
 
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    docs_columns = docs.columns
+    passes = _passes(docs.select("*", F.col(text).alias("__text")), benchmark, item_key, item_text, error_rate, block_chars, keep, docs.schema)
+    if len(passes) == 1:
+        return passes[0]
+    sha = F.sha2(F.col(text), 256)
+    found = _union(_passes(docs.select(sha.alias("__sha"), F.col(text).alias("__text")), benchmark, item_key, item_text, error_rate, block_chars, hits, "__sha string"))
+    return docs.withColumn("__sha", sha).join(found.distinct(), "__sha", "left_anti").select(docs_columns)

@@ -241,6 +241,30 @@ def test_passages_edges(spark, empty, clashing, corpus):
     assert compact_windows.find(clashing).count() == compact_windows.find(corpus).count()
 
 
+def test_near_copies_are_in_one_class(spark):
+    """250 copies of a passage of 120 words, each edited elsewhere, in documents of their own: links of brute force are in one class."""
+    r = random.Random(8)
+    base, rows, copies = words(60, 120), [], []
+    for i in range(250):
+        w = base.copy()
+        for at in r.sample(range(120), 1 + i % 2):
+            w[at] = f"e{i}x{at}"
+        copies.append(w)
+        rows.append((i, " ".join(words(5000 + i, 30 + i % 40) + w + words(9000 + i, 25))))
+    rows += [(1000 + i, " ".join(words(20_000 + i, 150))) for i in range(100)]
+    found = compact_windows.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    class_of = {}
+    for x in found:
+        assert x["doc_id"] < 1000 and x["other_id"] < 1000
+        class_of.setdefault(x["doc_id"], set()).add((x["class_id"], x["class_start"]))
+        class_of.setdefault(x["other_id"], set()).add((x["class_id"], x["class_start"]))
+    s = [shingles(" ".join(w)) for w in copies]
+    near = [(i, j) for i in range(250) for j in range(i) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])]
+    caught = sum(bool(class_of.get(i, set()) & class_of.get(j, set())) for i, j in near)
+    print("pairs", len(near), "in one class", caught / len(near), "rows", len(found))
+    assert len(near) > 10_000 and caught >= 0.95 * len(near)
+
+
 def test_line_chunks_equal_brute_force(corpus, texts):
     seen, want = set(), {}
     for k in sorted(texts):
