@@ -9,7 +9,8 @@ call equal are compared byte by byte. Only suffixes that can have an equal are s
 
 1. In each string the least of the hashes of its `gram`-byte pieces is its anchor. Equal strings have equal anchors at
    the same offset. Strings of one document with one anchor form a run; runs are grouped by anchor hash.
-2. Runs that are equal as a whole (64-bit hash of the run, besides the anchor's) repeat the earliest of them entirely.
+2. Runs of equal bytes repeat the earliest of them entirely. They are told by a SHA-256 digest of the bytes (128 bits of
+   it), so collisions of the polynomial hashes cannot make different runs equal.
 3. Anchors under which different runs remain send those runs' bytes to the sort, group by group. Groups of more than
    `hot` runs are split by the strings themselves, by the same rule, in DataFrame operations.
 
@@ -153,11 +154,12 @@ def repeats(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) ->
 
 
 def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, run hash, first string, number of strings) of the runs of the pieces data[starts:ends]."""
+    """(anchor hash, digest of the run in two parts, first string, number of strings) of the runs of the pieces data[starts:ends]."""
     none = np.zeros(0, np.int64)
+    nothing = (none.astype(np.uint64), none, none, none, none)
     width = length - gram + 1
     if len(data) < length:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
+        return nothing
     assert len(data) < 1 << _PLACE_BITS, "a place has no room in its key"
     hashes = PrefixHashes(data)
     n = len(data) - gram + 1
@@ -179,31 +181,32 @@ def runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = L
     new = np.append(True, least[1:] != least[:-1]) | np.append(True, ~valid[:-1])
     first = np.flatnonzero(new & valid)
     if not len(first):
-        return none.astype(np.uint64), none.astype(np.uint64), none, none
+        return nothing
     stop = np.append(valid[1:] & ~new[1:], False)
     last = np.flatnonzero(valid & ~stop)
     anchor = (least[first] & _U((1 << _PLACE_BITS) - 1)).astype(np.int64)
     count = last - first + 1
-    whole = mix64(hashes.of(first, last + length) ^ (_U(0x632BE59BD9B4E019) * (count * 256 + (anchor - first)).astype(np.uint64)))
-    return h[anchor], whole, first, count
+    raw, sha = data.tobytes(), hashlib.sha256
+    digests = np.frombuffer(b"".join([sha(raw[a:b]).digest() for a, b in zip(first.tolist(), (last + length).tolist())]), "<i8").reshape(-1, 4)
+    return h[anchor], digests[:, 0] ^ (anchor - first), digests[:, 1], first, count
 
 
 def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, run, doc_id, version, at, n, done) of all runs; done: an equal run of the same batch is earlier."""
+    """(h, run, run2, doc_id, version, at, n, done) of all runs; done: an equal run of the same batch is earlier."""
 
     def emit(keys: np.ndarray, versions: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, shift: np.ndarray) -> pa.RecordBatch:
-        h, whole, first, n = runs(data, starts, ends, length, gram)
+        h, whole, whole2, first, n = runs(data, starts, ends, length, gram)
         piece = np.searchsorted(starts, first, "right") - 1
         doc, version, at = keys[piece], versions[piece], first - starts[piece] + shift[piece]
-        order = np.lexsort((at, version, doc, h, whole))
-        same = np.append(False, (whole[order][1:] == whole[order][:-1]) & (h[order][1:] == h[order][:-1]))
+        order = np.lexsort((at, version, doc, h, whole2, whole))
+        same = np.append(False, np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (whole, whole2, h)]))
         place = np.stack([doc, version, at])[:, order]
         earliest = place[:, np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
         again = np.zeros(len(first), bool)
         again[order] = (place != earliest).any(axis=0)  # a repeated row does not repeat itself
         # settled rows need no group: deal them evenly
         h = np.where(again, mix64(doc.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + at.astype(np.uint64)), h)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(doc), pa.array(version), pa.array(at), pa.array(n.astype(np.int32)), pa.array(again)], ["h", "run", "doc_id", "version", "at", "n", "done"])
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(whole), pa.array(whole2), pa.array(doc), pa.array(version), pa.array(at), pa.array(n.astype(np.int32)), pa.array(again)], ["h", "run", "run2", "doc_id", "version", "at", "n", "done"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SEGMENT):
@@ -219,24 +222,24 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     part = np.frombuffer(texts[i][low : low + SEGMENT + length - 1], np.uint8)
                     yield emit(keys[i : i + 1], versions[i : i + 1], part, np.zeros(1, np.int64), np.array([len(part)]), np.array([low]))
 
-    return docs.mapInArrow(run, "h long, run long, doc_id long, version long, at long, n int, done boolean")
+    return docs.mapInArrow(run, "h long, run long, run2 long, doc_id long, version long, at long, n int, done boolean")
 
 
 def settle(rows: DataFrame) -> DataFrame:
-    """Rows come sorted by h, run, doc_id, version, at. Later equal runs are settled (done); runs whose anchor has others stay open."""
+    """Rows come sorted by h, run, run2, doc_id, version, at. Later equal runs are settled (done); runs whose anchor has others stay open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list | None = None  # the last first run and whether its anchor has others before it
         last: tuple | None = None
         earliest: tuple | None = None  # the place of the first of the last run's equals
         for batch in batches:
-            h, whole, doc, version, at, n = (batch.column(c).to_numpy() for c in ("h", "run", "doc_id", "version", "at", "n"))
+            h, whole, whole2, doc, version, at, n = (batch.column(c).to_numpy() for c in ("h", "run", "run2", "doc_id", "version", "at", "n"))
             done = batch.column("done").to_numpy(zero_copy_only=False)
             open_ = np.flatnonzero(~done)
             if len(open_):
-                ho, wo = h[open_], whole[open_]
-                same = np.append(last == (ho[0], wo[0]), (ho[1:] == ho[:-1]) & (wo[1:] == wo[:-1]))
-                last = (ho[-1], wo[-1])
+                name = np.stack([h, whole, whole2])[:, open_]
+                same = np.append(last == tuple(name[:, 0].tolist()), (name[:, 1:] == name[:, :-1]).all(axis=0))
+                last = tuple(name[:, -1].tolist())
                 place = np.stack([doc, version, at])[:, open_]
                 head = np.maximum.accumulate(np.where(same, -1, np.arange(len(open_))))
                 of = place[:, np.maximum(head, 0)]
@@ -322,7 +325,7 @@ def sort_hot(rows: DataFrame, length: int) -> DataFrame:
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """docs: (key, version, text), never null. (key, version, spans): the starts and numbers of repeated strings of each document."""
     n = shuffle_partitions(docs.sparkSession)
-    dealt = anchored(docs, length, gram).repartition(n, "h").sortWithinPartitions("h", "run", "doc_id", "version", "at")
+    dealt = anchored(docs, length, gram).repartition(n, "h").sortWithinPartitions("h", "run", "run2", "doc_id", "version", "at")
     settled = materialize(settle(dealt), "suffix-runs")
     whole = settled.filter("open = 0").select("doc_id", "version", "at", "n")
     open_ = settled.filter("open = 1")

@@ -80,6 +80,7 @@ def test_matches_equal_brute_force(spark):
         got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontam.find(d, b, block_chars=block).collect()}
         assert got == want
     left = {r["doc_id"] for r in decontam.remove(d, b).collect()}
+    assert left == {r["doc_id"] for r in decontam.remove(d, b, block_chars=40).collect()}
     assert left == {k for k, _ in docs} - {k for k, _ in want}
 
 
