@@ -399,3 +399,23 @@ def test_passages_equal_brute_force_near_the_threshold():
                 # the ends of a passage that the other has not are left off
                 assert any(x0 - 6 <= at and at + least <= x1 + 6 for x0, x1, *_ in found), (case, at, found)
     assert valid > 500
+
+
+def test_candidates_do_not_depend_on_batches():
+    r = np.random.default_rng(3)
+    n = 3000
+    rows = np.stack([r.integers(0, 6, n), r.integers(6, 12, n), r.integers(0, 40, n) * 16 << 19 | r.integers(0, 6, n) << 16 | 30 << 8 | 30, r.integers(0, 40, n) * 16 << 19 | 30 << 8 | 30])
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    names = ["a", "b", "place_a", "place_b"]
+
+    class Pairs:
+        def __init__(self, size):
+            self.size = size
+
+        def mapInArrow(self, f, schema):
+            return [x for b in f(pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, i : i + self.size]], names) for i in range(0, n, self.size)) for x in b.to_pylist()]
+
+    want = compact_windows.candidates(Pairs(n), 3, 46)
+    assert len(want) > 30
+    for size in (1, 7, 100, 999):
+        assert compact_windows.candidates(Pairs(size), 3, 46) == want
