@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import json
 import os
 import secrets
 
@@ -23,6 +24,27 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
 
 
+def canonical_text(value) -> str:
+    """Canonical JSON of nested Python values: keys sorted at every level, compact, non-finite numbers rejected."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def canonical(payload: Column) -> Column:
+    """Any JSON text in canonical form, at every level; null where it is malformed or holds a non-finite number."""
+
+    @F.pandas_udf("string")
+    def rewrite(values: pd.Series) -> pd.Series:
+        def one(v: str | None) -> str | None:
+            try:
+                return None if v is None else canonical_text(json.loads(v))
+            except ValueError:
+                return None
+
+        return values.map(one)
+
+    return rewrite(payload)
+
+
 def payload_sha256(payload: Column) -> Column:
     return F.sha2(payload, 256)
 
@@ -42,9 +64,13 @@ def demonstration_key() -> bytes:
     return hashlib.sha256(b"demonstration").digest()
 
 
+#: Named as path, stands for the public demonstration key.
+DEMONSTRATION = "demonstration:"
+
+
 def load_key(path: str | None = None, variable: str | None = None) -> bytes:
-    """From a file, else from an environment variable; the public demonstration key if neither is named."""
-    if path is None and variable is None:
+    """From a file, else from an environment variable; without either there is no key. The demonstration key must be asked for."""
+    if path == DEMONSTRATION:
         return demonstration_key()
     if path:
         with open(path, encoding="ascii") as f:

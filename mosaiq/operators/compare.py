@@ -80,14 +80,30 @@ def hash_pairs(reference: DataFrame, query: DataFrame, keys: list[str], toleranc
 
 
 def hash_segments(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Mean, median and largest distance of valid pairs; a segment with any invalid pair is invalid and has no score."""
-    out = pairs.groupBy(*by, "segment_id").agg(F.count_if(F.col("reason") != "valid").alias("invalid_pairs"), F.avg("distance").alias("mean"), F.percentile("distance", 0.5).alias("median"), F.max("distance").alias("largest"))
-    return out.withColumn("segment_valid", F.col("invalid_pairs") == 0).withColumn("score", F.when(F.col("invalid_pairs") == 0, F.col("mean")))
+    """Mean, median and largest distance of the valid pairs; a segment without any valid pair is invalid and has no score."""
+    valid = F.count_if(F.col("reason") == "valid")
+    out = pairs.groupBy(*by, "segment_id").agg((F.count(F.lit(1)) - valid).alias("invalid_pairs"), F.avg("distance").alias("mean"), F.percentile("distance", 0.5).alias("median"), F.max("distance").alias("largest"), (valid > 0).alias("segment_valid"))
+    return out.withColumn("score", F.col("mean"))
 
 
-def hash_video_decision(segments: DataFrame, by: list[str], threshold) -> DataFrame:
-    """The video score is the largest segment mean; it must exceed the threshold strictly. Bad evidence counts as abnormal."""
+def hash_structure(reference: DataFrame, query: DataFrame, by: list[str]) -> DataFrame:
+    """A row for every video of either side, with the numbers of segments that the query misses or has besides."""
+    ref, qry = (df.select(*by, "segment_id").distinct().withColumn(f"_{s}", F.lit(True)) for df, s in ((reference, "ref"), (query, "query")))
+    return ref.join(qry, [*by, "segment_id"], "full").groupBy(*by).agg(F.count_if(F.col("_query").isNull()).alias("missing_segments"), F.count_if(F.col("_ref").isNull()).alias("extra_segments"))
+
+
+def hash_video_decision(segments: DataFrame, structure: DataFrame, by: list[str], threshold) -> DataFrame:
+    """The video score is the largest segment mean; it must exceed the threshold strictly. Videos of `structure` with bad
+    evidence, without any score, or with missing or extra segments are abnormal: the decision fails closed."""
     v = segments.groupBy(*by).agg(F.max("score").alias("video_score"), F.bool_or(~F.col("segment_valid")).alias("invalid"))
+    v = structure.join(v, by, "left").withColumn("structural", (F.col("missing_segments") > 0) | (F.col("extra_segments") > 0))
+    v = v.withColumn("invalid", F.coalesce("invalid", F.lit(True)) | F.col("video_score").isNull()).drop("missing_segments", "extra_segments")
     over = F.coalesce(F.col("video_score") > threshold, F.lit(False))
-    reasons = F.concat_ws("; ", F.when(over, "video score strictly exceeds threshold"), F.when(F.col("invalid"), "unusable corresponding frame-hash evidence"))
-    return v.withColumn("observed", F.when(over | F.col("invalid"), "abnormal").otherwise("normal")).withColumn("decision_reason", F.when(reasons == "", "within threshold with complete valid structure").otherwise(reasons))
+    # fixed values: the texts of the reasons
+    reasons = F.concat_ws(
+        "; ",
+        F.when(over, "video score strictly exceeds threshold"),
+        F.when(F.col("structural"), "missing or extra segment"),
+        F.when(F.col("invalid"), "unusable corresponding frame-hash evidence"),
+    )
+    return v.withColumn("observed", F.when(over | F.col("structural") | F.col("invalid"), "abnormal").otherwise("normal")).withColumn("decision_reason", F.when(reasons == "", "within threshold with complete valid structure").otherwise(reasons))

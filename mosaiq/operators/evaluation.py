@@ -63,11 +63,11 @@ def bootstrap(clusters: DataFrame, draws: DataFrame) -> DataFrame:
     return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"), F.count("value").alias("valid"))
 
 
-def lcg_draws(spark, reps: int, clusters: int, seed: int = 404) -> DataFrame:
-    """Clusters drawn with replacement by a linear congruence that any engine evaluates."""
-    grid = spark.range(reps).withColumnRenamed("id", "rep").crossJoin(spark.range(clusters).withColumnRenamed("id", "k"))
-    drawn = grid.select("rep", F.pmod(F.pmod(F.col("rep") * 1103515245 + F.col("k") * 12345 + seed, F.lit(2147483647)), F.lit(clusters)).alias("cluster_no"))
-    return drawn.groupBy("rep", "cluster_no").agg(F.count(F.lit(1)).alias("times"))
+def hashed_draws(spark, reps: int, clusters: int, seed: int = 404) -> DataFrame:
+    """Clusters drawn with replacement by SHA-256 of (seed, repetition, draw), which any engine evaluates."""
+    grid = spark.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(clusters - 1))).alias("k"))
+    number = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "rep", "k"), 256), 1, 8), 16, 10).cast("bigint")
+    return grid.select("rep", F.pmod(number, F.lit(clusters)).alias("cluster_no")).groupBy("rep", "cluster_no").agg(F.count(F.lit(1)).alias("times"))
 
 
 def numpy_draws(spark, reps: int, clusters: int, seed: int = 404) -> DataFrame:

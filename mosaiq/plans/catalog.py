@@ -312,21 +312,22 @@ def leakage_check(spark, d):
     return evaluation.leakage(evaluation.fold_rows(rows.filter("video_no between 1 and 4"), rows.select("source_id").distinct()))
 
 
-@query("WITH " + O.SV + " SELECT video_id, segment_id, list_sum(embedding[1:40])::DOUBLE IS NOT NULL AS has_all, 64::INT AS dims FROM sv WHERE video_no % 2 = 0 AND segment_id % 3 <> 1")
+@query("WITH " + O.SV + " SELECT video_id, segment_id, list_sum(embedding[1:40])::DOUBLE IS NOT NULL AS has_all, 64::INT AS dims FROM sv")
 def feature_stream_join(spark, d):
     rows = A.seg_vectors(spark, d)
     keys = ["video_id", "segment_id"]
-    left = rows.filter("video_no % 2 = 0").select(*keys, "resnet")
-    right = rows.filter("segment_id % 3 <> 1").select(*keys, "temporal")
+    left = rows.select(*keys, "resnet")
+    right = rows.select(*keys, "temporal")
     third = rows.select(*keys, "spatial")
     joined = left.join(right, keys).join(third, keys)
     return joined.select(*keys, V.is_finite(F.concat("resnet", "temporal", "spatial")).alias("has_all"), F.size(F.concat("resnet", "temporal", "spatial")).alias("dims"))
 
 
-@query("WITH " + O.SV + " SELECT 'left' AS side, count(*)::BIGINT AS n FROM sv WHERE video_no%2=0 AND segment_id%3=1 UNION ALL SELECT 'right', count(*)::BIGINT FROM sv WHERE video_no%2<>0 AND segment_id%3<>1")
+@query("WITH " + O.TURNS + " SELECT CASE state WHEN 'missing_in_query' THEN 'left' ELSE 'right' END AS side, count(*)::BIGINT AS n FROM (SELECT DISTINCT conv_id, segment_id, state FROM al WHERE state IN ('missing_in_query','extra_in_query')) GROUP BY 1")
 def one_sided_segments(spark, d):
-    rows = A.seg_vectors(spark, d)
-    return compare.one_sided(rows.filter("video_no % 2 = 0"), rows.filter("segment_id % 3 <> 1"), ["video_id", "segment_id"]).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+    t = A.turns(spark, d)
+    left, right = t.filter("conv_id % 2 = 0"), t.filter("conv_id % 2 = 1").withColumn("conv_id", F.col("conv_id") - 1)
+    return compare.one_sided(left, right, ["conv_id", "segment_id"]).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH " + O.SV + O.STRUCT + " SELECT source_id, video_id, missing_segments, extra_segments, missing_segments>0 OR extra_segments>0 AS structural FROM st")
@@ -398,13 +399,22 @@ _PH = O.FRAMES + """, f2 AS (SELECT *, (frame_index%4=3)::INT*0.5::DOUBLE*(video
  hp AS (SELECT coalesce(r.g,q.g) g, coalesce(r.segment_id,q.segment_id) segment_id, coalesce(r.frame_index,q.frame_index) frame_index, CASE WHEN r.g IS NULL OR q.g IS NULL THEN 'missing' WHEN NOT r.success OR NOT q.success THEN 'invalid' WHEN abs(r.offset_s-q.offset_s)>1e-9 THEN 'timestamp' ELSE 'valid' END reason, r.hash64 rh, q.hash64 qh
  FROM (SELECT rf.* FROM rf JOIN cm USING (g, segment_id)) r FULL JOIN (SELECT qf.* FROM qf JOIN cm USING (g, segment_id)) q ON q.g=r.g AND q.segment_id=r.segment_id AND q.frame_index=r.frame_index),
  hd AS (SELECT g, segment_id, frame_index, reason, CASE WHEN reason='valid' THEN bit_count(xor(rh,qh))/64.0::DOUBLE END AS distance FROM hp),
- hs AS (SELECT g, segment_id, count(*) FILTER (reason<>'valid')::BIGINT invalid_pairs, avg(distance) mean, median(distance) med, max(distance) largest, CASE WHEN count(*) FILTER (reason<>'valid')=0 THEN avg(distance) END AS score FROM hd GROUP BY 1,2),
- hv AS (SELECT g, max(score) AS video_score, bool_or(invalid_pairs>0) AS invalid FROM hs GROUP BY 1)"""
+ hs AS (SELECT g, segment_id, count(*) FILTER (reason<>'valid')::BIGINT invalid_pairs, avg(distance) mean, median(distance) med, max(distance) largest, count(*) FILTER (reason='valid')>0 AS segment_valid, avg(distance) AS score FROM hd GROUP BY 1,2),
+ hx AS (SELECT coalesce(r.g,q.g) g, count(*) FILTER (q.g IS NULL) missing, count(*) FILTER (r.g IS NULL) extra FROM (SELECT DISTINCT g, segment_id FROM rf) r FULL JOIN (SELECT DISTINCT g, segment_id FROM qf) q ON q.g=r.g AND q.segment_id=r.segment_id GROUP BY 1),
+ hv AS (SELECT hx.g, max(score) AS video_score, any_value(missing+extra)>0 AS structural, coalesce(bool_or(NOT segment_valid), true) OR max(score) IS NULL AS invalid FROM hx LEFT JOIN hs ON hs.g=hx.g GROUP BY hx.g)"""
 
 
-def _hash_pairs(spark, d):
+def _hash_sides(spark, d):
     f = A.frames(spark, d).withColumn("g", F.floor(F.col("video_id") / 2)).withColumn("offset_s", F.when(F.col("frame_index") % 4 == 3, 0.5).otherwise(0.0) * (F.col("video_id") % 2))
-    return compare.hash_pairs(f.filter("video_id % 2 = 0"), f.filter("video_id % 2 = 1"), ["g", "segment_id", "frame_index"])
+    return f.filter("video_id % 2 = 0"), f.filter("video_id % 2 = 1")
+
+
+def _hash_pairs(spark, d):
+    return compare.hash_pairs(*_hash_sides(spark, d), ["g", "segment_id", "frame_index"])
+
+
+def _hash_decisions(spark, d):
+    return compare.hash_video_decision(compare.hash_segments(_hash_pairs(spark, d), ["g"]), compare.hash_structure(*_hash_sides(spark, d), ["g"]), ["g"], F.lit(0.5))
 
 
 @query("WITH " + _PH + " SELECT g, segment_id, frame_index, reason, round(distance,6) distance FROM hd")
@@ -412,39 +422,39 @@ def phash_pairs(spark, d):
     return _hash_pairs(spark, d).select("g", "segment_id", "frame_index", "reason", r6("distance").alias("distance"))
 
 
-@query("WITH " + _PH + " SELECT g, segment_id, invalid_pairs, round(mean,6) mean, round(med,6) AS median, round(largest,6) largest, invalid_pairs=0 AS segment_valid FROM hs")
+@query("WITH " + _PH + " SELECT g, segment_id, invalid_pairs, round(mean,6) mean, round(med,6) AS median, round(largest,6) largest, segment_valid FROM hs")
 def phash_segment_scores(spark, d):
     s = compare.hash_segments(_hash_pairs(spark, d), ["g"])
     return s.select("g", "segment_id", "invalid_pairs", *(r6(c).alias(c) for c in ("mean", "median", "largest")), "segment_valid")
 
 
-@query("WITH " + _PH + " SELECT g, round(video_score,6) video_score, invalid, CASE WHEN coalesce(video_score>0.5,false) OR invalid THEN 'abnormal' ELSE 'normal' END observed, CASE WHEN coalesce(video_score>0.5,false) AND invalid THEN 'video score strictly exceeds threshold; unusable corresponding frame-hash evidence' WHEN coalesce(video_score>0.5,false) THEN 'video score strictly exceeds threshold' WHEN invalid THEN 'unusable corresponding frame-hash evidence' ELSE 'within threshold with complete valid structure' END decision_reason FROM hv")
+@query("WITH " + _PH + """ SELECT g, round(video_score,6) video_score, invalid, structural, CASE WHEN coalesce(video_score>0.5,false) OR invalid OR structural THEN 'abnormal' ELSE 'normal' END observed,
+ coalesce(nullif(concat_ws('; ', CASE WHEN video_score>0.5 THEN 'video score strictly exceeds threshold' END, CASE WHEN structural THEN 'missing or extra segment' END, CASE WHEN invalid THEN 'unusable corresponding frame-hash evidence' END), ''), 'within threshold with complete valid structure') decision_reason FROM hv""")
 def phash_decisions(spark, d):
-    v = compare.hash_video_decision(compare.hash_segments(_hash_pairs(spark, d), ["g"]), ["g"], F.lit(0.5))
-    return v.withColumn("video_score", r6("video_score"))
+    return _hash_decisions(spark, d).withColumn("video_score", r6("video_score"))
 
 
-_PN = _PH + """, pv AS (SELECT 'S'||(g%6) AS source_id, g AS video_id, CASE WHEN g%3=0 THEN 'abnormal' ELSE 'normal' END AS expected, video_score FROM hv WHERE video_score IS NOT NULL),
+_PN = _PH + """, pv AS (SELECT 'S'||(g%6) AS source_id, g AS video_id, CASE WHEN g%3=0 THEN 'abnormal' ELSE 'normal' END AS expected, video_score, structural OR invalid AS bad FROM hv),
  ss AS (SELECT DISTINCT source_id FROM pv), pr2 AS (SELECT a.source_id outer_out, b.source_id inner_out FROM ss a, ss b),
- tr AS (SELECT outer_out, inner_out, margin, video_score FROM pr2 JOIN pv ON source_id<>outer_out AND source_id<>inner_out AND expected='normal', (VALUES (1.5::DOUBLE),(3.0)) mg(margin)),
+ tr AS (SELECT outer_out, inner_out, margin, video_score FROM pr2 JOIN pv ON source_id<>outer_out AND source_id<>inner_out AND expected='normal' AND video_score IS NOT NULL, (VALUES (1.5::DOUBLE),(3.0)) mg(margin)),
  md AS (SELECT outer_out, inner_out, margin, median(video_score) md FROM tr GROUP BY 1,2,3),
  th AS (SELECT outer_out, inner_out, margin, least(1,greatest(0,max(video_score)+greatest(margin*median(abs(video_score-md)),1.0/64))) t FROM tr JOIN md USING (outer_out,inner_out,margin) GROUP BY 1,2,3),
- pd AS (SELECT outer_out, margin, expected, CASE WHEN video_score>t THEN 'abnormal' ELSE 'normal' END observed FROM th JOIN pv ON pv.source_id=th.inner_out WHERE inner_out<>outer_out),
+ pd AS (SELECT outer_out, margin, expected, CASE WHEN bad OR video_score>t THEN 'abnormal' ELSE 'normal' END observed FROM th JOIN pv ON pv.source_id=th.inner_out WHERE inner_out<>outer_out),
  cn AS (""" + O.counts("outer_out, margin") + "), mt AS (" + O.metrics("cn", "outer_out, margin") + """),
  sel AS (SELECT outer_out, margin FROM (SELECT *, row_number() OVER (PARTITION BY outer_out ORDER BY round(balanced_accuracy,12) DESC NULLS LAST, round(f1,12) DESC NULLS LAST, margin) rn FROM mt) WHERE rn=1)"""
 
 
-@query("WITH " + _PN + " SELECT th.outer_out AS held_out, pv.video_id, th.margin, round(t,6) AS threshold, CASE WHEN video_score>t THEN 'abnormal' ELSE 'normal' END observed FROM th JOIN sel ON sel.outer_out=th.outer_out AND sel.margin=th.margin JOIN pv ON pv.source_id=th.outer_out WHERE th.inner_out=th.outer_out")
+@query("WITH " + _PN + " SELECT th.outer_out AS held_out, pv.video_id, th.margin, round(t,6) AS threshold, CASE WHEN bad OR video_score>t THEN 'abnormal' ELSE 'normal' END observed FROM th JOIN sel ON sel.outer_out=th.outer_out AND sel.margin=th.margin JOIN pv ON pv.source_id=th.outer_out WHERE th.inner_out=th.outer_out")
 def phash_nested_loso(spark, d):
-    """The margin is selected inside the training sources of each fold; thresholds exclude the held-out source."""
-    v = compare.hash_video_decision(compare.hash_segments(_hash_pairs(spark, d), ["g"]), ["g"], F.lit(0.5)).filter("video_score is not null")
-    v = v.select(F.concat(F.lit("S"), (F.col("g") % 6).cast("string")).alias("source_id"), F.col("g").alias("video_id"), F.when(F.col("g") % 3 == 0, "abnormal").otherwise("normal").alias("expected"), "video_score")
+    """The margin is selected inside the training sources of each fold; thresholds exclude the held-out source. Bad evidence is abnormal."""
+    v = _hash_decisions(spark, d)
+    v = v.select(F.concat(F.lit("S"), (F.col("g") % 6).cast("string")).alias("source_id"), F.col("g").alias("video_id"), F.when(F.col("g") % 3 == 0, "abnormal").otherwise("normal").alias("expected"), "video_score", (F.col("structural") | F.col("invalid")).alias("bad"))
     src = v.select("source_id").distinct()
     sets = src.withColumnRenamed("source_id", "outer_out").crossJoin(src.withColumnRenamed("source_id", "inner_out"))
-    train = v.filter("expected = 'normal'").join(F.broadcast(sets), (F.col("source_id") != F.col("outer_out")) & (F.col("source_id") != F.col("inner_out"))).select("*", F.explode(F.lit([1.5, 3.0])).alias("margin"))
+    train = v.filter("expected = 'normal' and video_score is not null").join(F.broadcast(sets), (F.col("source_id") != F.col("outer_out")) & (F.col("source_id") != F.col("inner_out"))).select("*", F.explode(F.lit([1.5, 3.0])).alias("margin"))
     by = ["outer_out", "inner_out", "margin"]
     limits = evaluation.mad_threshold(train, "video_score", by, F.col("margin"), 1 / 64).select(*by, "threshold")
-    verdict = F.when(F.col("video_score") > F.col("threshold"), "abnormal").otherwise("normal")
+    verdict = F.when(F.col("bad") | (F.col("video_score") > F.col("threshold")), "abnormal").otherwise("normal")
     inner = limits.filter("inner_out <> outer_out").join(v, F.col("inner_out") == F.col("source_id")).withColumn("observed", verdict)
     quality = evaluation.metrics(evaluation.counts(inner, ["outer_out", "margin"]))
     chosen = evaluation.best_parameters(quality, ["outer_out"], ["margin"]).select("outer_out", "margin")
@@ -535,9 +545,9 @@ def fold_variance(spark, d):
     return _rounded(evaluation.fold_variance(A.predictions(spark, d)))
 
 
-_REPS = 200
+_REPS = 10_000
 _BOOT = "WITH " + O.PRED + ", cl AS (SELECT *, row_number() OVER (ORDER BY source_id)-1 AS cluster_no FROM (" + O.counts("source_id") + f""")), nc AS (SELECT count(*) n FROM cl),
- dr AS (SELECT rep, (((rep*1103515245+k*12345+404)%2147483647)%n) AS cluster_no FROM (SELECT unnest(range(0,{_REPS})) rep), nc, LATERAL (SELECT unnest(range(0,n)) k)),
+ dr AS (SELECT rep, ('0x'||substr(sha256('404:'||rep||':'||k),1,8))::BIGINT%n AS cluster_no FROM (SELECT unnest(range(0,{_REPS})) rep), nc, LATERAL (SELECT unnest(range(0,n)) k)),
  sm AS (SELECT rep, sum(tp)::BIGINT tp, sum(tn)::BIGINT tn, sum(fp)::BIGINT fp, sum(fn)::BIGINT fn FROM dr JOIN cl USING (cluster_no) GROUP BY 1), mt AS (""" + O.metrics("sm", "rep") + "), lg AS (" + O.long_metrics("mt", "rep") + "), ci AS (SELECT metric, round(avg(value),6) mean, round(stddev_samp(value),6) sd, round(quantile_cont(value,0.025),6) low, round(quantile_cont(value,0.975),6) high, count(value)::BIGINT valid FROM lg GROUP BY 1)"
 
 
@@ -545,7 +555,7 @@ def _boot(spark, d, reps=_REPS):
     clusters = evaluation.counts(A.predictions(spark, d), ["source_id"])
     n = clusters.count()  # the number of sources: a scalar
     numbered = clusters.withColumn("cluster_no", F.row_number().over(Window.orderBy("source_id")) - 1).drop("source_id")
-    return _rounded(evaluation.bootstrap(numbered, evaluation.lcg_draws(spark, reps, n)))
+    return _rounded(evaluation.bootstrap(numbered, evaluation.hashed_draws(spark, reps, n)))
 
 
 @query(_BOOT + " SELECT * FROM ci")
@@ -703,13 +713,13 @@ _SEQ = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedpr
 def completion_matrix(spark, d):
     """The last status of each recording and stage."""
     last = _log(spark, d).groupBy("video_id", "stage").agg(F.max_by("status", "seq").alias("status"))
-    return last.groupBy("video_id").pivot("stage", ["A", "N", "R"]).agg(F.first("status")).select("video_id", *(F.col(c).alias(c.lower()) for c in "ANR"))
+    return last.groupBy("video_id").pivot("stage").agg(F.first("status")).select("video_id", *(F.col(c).alias(c.lower()) for c in sorted(r["stage"] for r in _log(spark, d).select("stage").distinct().collect())))  # a row a stage
 
 
-@query("WITH " + O.DIST + " SELECT video_id, round(max(bal) FILTER (segment_id=0),6) AS s0, round(max(bal) FILTER (segment_id=1),6) AS s1, round(max(bal) FILTER (segment_id=2),6) AS s2, round(max(bal) FILTER (segment_id=3),6) AS s3 FROM dd GROUP BY 1")
+@query("WITH " + O.DIST + " SELECT video_id, segment_id, round(max(bal),6) AS score FROM dd GROUP BY 1,2")
 def score_heatmap(spark, d):
-    p = _distances(spark, d).groupBy("video_id").pivot("segment_id", [0, 1, 2, 3]).agg(F.max("balanced"))
-    return p.select("video_id", *(r6(F.col(str(i))).alias(f"s{i}") for i in range(4)))
+    """The cells of the heat map in long form, so that recordings of any length are whole."""
+    return _distances(spark, d).groupBy("video_id", "segment_id").agg(r6(F.max("balanced")).alias("score"))
 
 
 @query("WITH " + O.DIST + " SELECT video_id, segment_id, round(bal,6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY bal DESC, segment_id) rn FROM dd WHERE video_no>=5) WHERE rn=1")
@@ -735,7 +745,7 @@ def _payloads(spark, d):
 @query()
 def hmac_records(spark, d):
     """Signed records. The workers derive the catalogue's public demonstration key by themselves; real keys come from files or variables."""
-    return records.sign(_payloads(spark, d), "demonstration", auth.key_fingerprint(auth.demonstration_key()))
+    return records.sign(_payloads(spark, d), "demonstration", auth.key_fingerprint(auth.demonstration_key()), auth.DEMONSTRATION)
 
 
 @query()
@@ -745,7 +755,7 @@ def verify_matrix(spark, d):
     spoil = {"schema_version": 1, "algorithm": 2, "payload_sha256": 3, "key_fingerprint": 4, "tag": 5}
     for column, case in spoil.items():
         r = r.withColumn(column, F.when(F.col("case") == case, F.concat(F.lit("00"), F.substring(F.col(column), 3, 200))).otherwise(F.col(column)))
-    checked = records.verify(r, auth.key_fingerprint(auth.demonstration_key()))
+    checked = records.verify(r, auth.key_fingerprint(auth.demonstration_key()), auth.DEMONSTRATION)
     return checked.select("video_id", "case", "schema_ok", "algorithm_ok", "payload_ok", "key_ok", "tag_ok", "valid", "reasons")
 
 
@@ -793,9 +803,9 @@ def feature_inventory(spark, d):
     return validation.inventory(A.seg_vectors(spark, d), ["resnet", "temporal", "spatial"], ["source_id"])
 
 
-@query("WITH " + O.SV + " SELECT video_id, segment_id, CASE WHEN video_no<3 THEN (CASE WHEN segment_id%2=0 THEN segment_id*5.0::DOUBLE END) ELSE segment_id*5.0::DOUBLE+0.5 END AS start_s FROM sv WHERE video_no<6")
+@query("WITH " + O.SV + " SELECT video_id, segment_id, CASE WHEN video_no<3 THEN (CASE WHEN segment_id%2=0 THEN segment_id*5.0::DOUBLE END) ELSE segment_id*5.0::DOUBLE+0.5 END AS start_s FROM sv")
 def segment_times_lookup(spark, d):
-    rows = A.seg_vectors(spark, d).filter("video_no < 6").select("video_id", "video_no", "segment_id")
+    rows = A.seg_vectors(spark, d).select("video_id", "video_no", "segment_id")
     first = rows.filter("video_no < 3 and segment_id % 2 = 0").select("video_id", "segment_id", (F.col("segment_id") * 5.0).alias("start_s"))
     second = rows.select("video_id", "segment_id", (F.col("segment_id") * 5.0 + 0.5).alias("start_s"))
     return validation.segment_times(rows, first, second).select("video_id", "segment_id", "start_s")
@@ -817,12 +827,11 @@ def pooled_decisions(spark, d):
     return found.select("video_id", "segment_id", label.alias("attribution"))
 
 
-@query("WITH " + O.PRED + " SELECT source_id, round(avg((observed='abnormal')::INT) FILTER (transformation='de'),6) AS de, round(avg((observed='abnormal')::INT) FILTER (transformation='en'),6) AS en, round(avg((observed='abnormal')::INT) FILTER (transformation='es'),6) AS es, round(avg((observed='abnormal')::INT) FILTER (transformation='fr'),6) AS fr FROM pd GROUP BY 1")
+@query("WITH " + O.PRED + " SELECT source_id, transformation, round(avg((observed='abnormal')::INT),6) AS rate FROM pd GROUP BY 1,2")
 def rate_pivot(spark, d):
-    """Abnormal rates by group and transformation in fixed columns; cells without rows are null."""
+    """Abnormal rates by group and transformation, a row a cell; cells without rows are absent."""
     p = A.predictions(spark, d).withColumn("rate", (F.col("observed") == "abnormal").cast("double"))
-    kinds = ["de", "en", "es", "fr"]
-    return p.groupBy("source_id").pivot("transformation", kinds).agg(F.avg("rate")).select("source_id", *(r6(k).alias(k) for k in kinds))
+    return p.groupBy("source_id", "transformation").agg(r6(F.avg("rate")).alias("rate"))
 
 
 @query("WITH " + O.REG + ", " + O.HITS + " SELECT video_id, coalesce(nullif(list_position(['trusted_reference','avi_conversion','mov_conversion','resize_480p','resize_720p','blur','frame_deletion','frame_insertion','frame_replacement'], t2), 0)-1, 99)::INT AS place, least(300.0::DOUBLE, greatest(30.0::DOUBLE, coalesce(width,0)*height/10000.0::DOUBLE)) AS point_size FROM cl")

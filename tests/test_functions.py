@@ -127,3 +127,13 @@ def test_canonical_json_and_keys(spark, tmp_path):
 def test_metric_format(spark):
     r = one(spark, [(0.98148,), (None,), (math.nan,)], "v double", S.format_metric(F.col("v")))
     assert [x[0] for x in r] == ["0.9815", "n/a", "n/a"]
+
+
+def test_no_key_by_default_and_nested_canonical_json(spark):
+    with pytest.raises(ValueError):
+        auth.load_key()
+    assert auth.load_key(auth.DEMONSTRATION) == auth.demonstration_key()
+    texts = ['{"b": {"d": 1, "c": [2, {"z": 0, "a": "é"}]}, "a": null}', '{"x": NaN}', '{"x": 1e999}', "{", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(auth.canonical(F.col("t"))).collect()]
+    assert got == ['{"a":null,"b":{"c":[2,{"a":"é","z":0}],"d":1}}', None, None, None, None]

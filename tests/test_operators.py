@@ -64,8 +64,31 @@ def test_hash_scores(spark):
     s = {r["segment_id"]: r for r in compare.hash_segments(pairs, ["g"]).collect()}
     assert set(s) == {0, 1}
     assert s[0]["mean"] == pytest.approx((1 + 2 + 4) / 3 / 64) and s[0]["largest"] == 4 / 64 and s[1]["score"] is None
-    d = compare.hash_video_decision(compare.hash_segments(pairs, ["g"]), ["g"], F.lit(0.9)).first()
-    assert d["observed"] == "abnormal" and d["decision_reason"] == "unusable corresponding frame-hash evidence"
+    assert s[0]["segment_valid"] and not s[1]["segment_valid"]
+    structure = compare.hash_structure(ref, qry, ["g"])
+    d = compare.hash_video_decision(compare.hash_segments(pairs, ["g"]), structure, ["g"], F.lit(0.9)).first()
+    assert d["observed"] == "abnormal" and d["decision_reason"] == "missing or extra segment; unusable corresponding frame-hash evidence"
+
+
+def test_hash_decisions_fail_closed(spark):
+    h = "g int, segment_id int, frame_index int, hash64 long, success boolean, offset_s double"
+    good = [(1, 0, i, 0, True, 0.0) for i in range(5)]
+    cases = {
+        1: (good, good[:4] + [(1, 0, 4, 0, False, 0.0)]),  # one failed frame beside four valid ones
+        2: (good, []),  # no query at all
+        3: (good, [(1, 0, i, 0, False, 0.0) for i in range(5)]),  # no valid pair
+        4: (good, good + [(1, 1, 0, 0, True, 0.0)]),  # an extra segment
+        5: (good, [(1, 0, i, -1, True, 0.0) for i in range(5)]),  # all bits differ
+    }
+    ref, qry = (spark.createDataFrame([(g, *r[1:]) for g, sides in cases.items() for r in sides[i]], h) for i in (0, 1))
+    pairs = compare.hash_pairs(ref, qry, ["g", "segment_id", "frame_index"])
+    got = {r["g"]: r for r in compare.hash_video_decision(compare.hash_segments(pairs, ["g"]), compare.hash_structure(ref, qry, ["g"]), ["g"], F.lit(0.5)).collect()}
+    assert {g: r["observed"] for g, r in got.items()} == {1: "normal", 2: "abnormal", 3: "abnormal", 4: "abnormal", 5: "abnormal"}
+    assert got[1]["decision_reason"] == "within threshold with complete valid structure"
+    assert got[2]["decision_reason"] == "missing or extra segment; unusable corresponding frame-hash evidence"
+    assert got[3]["decision_reason"] == "unusable corresponding frame-hash evidence"
+    assert got[4]["decision_reason"] == "missing or extra segment"
+    assert got[5]["decision_reason"] == "video score strictly exceeds threshold"
 
 
 def test_threshold_strictness_and_fallbacks(spark):
@@ -93,7 +116,7 @@ def test_bootstrap_is_clustered_and_repeatable(spark):
     a = evaluation.bootstrap(c, evaluation.numpy_draws(spark, 50, 3)).orderBy("metric").collect()
     b = evaluation.bootstrap(c, evaluation.numpy_draws(spark, 50, 3)).orderBy("metric").collect()
     assert a == b
-    draws = evaluation.lcg_draws(spark, 20, 3).groupBy("rep").agg(F.sum("times").alias("n")).collect()
+    draws = evaluation.hashed_draws(spark, 20, 3).groupBy("rep").agg(F.sum("times").alias("n")).collect()
     assert len(draws) == 20 and {r["n"] for r in draws} == {3}
 
 
