@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from mosaiq.llm import bpe, chosen_path, decontam, langid, line_chunks
 from mosaiq.llm.common import discard, materialize, read_table
 
-#: Texts whose best family margin is below this are rejected, as are texts without letters. Of 1,000 labelled rows of sf0.1
-#: that a model had not seen the least margin was 0.42; of 360 texts of six kinds of random letters the largest was 0.37.
-LEAST_MARGIN = 0.4
+#: Texts of 100 characters or more go if they are below both. The margin alone took 408 clean texts of 51,282 in a table of
+#: 0.1 GB (0.8 %). Likeness of clean texts of 300 characters or more was 0.53 at least and 0.62 or more for 99.9 %; of 400
+#: texts of random letters of four kinds it was 0.60 at most.
+LEAST_MARGIN, LEAST_LIKENESS = 0.4, 0.62
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
     if model is None:  # no labels to learn from
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    known = langid.predict(docs, model, least_margin=LEAST_MARGIN).filter(F.col("lang_pred") != langid.UNDETERMINED)
+    known = langid.predict(docs, model, least_margin=LEAST_MARGIN, least_likeness=LEAST_LIKENESS).filter(F.col("lang_pred") != langid.UNDETERMINED)
     return known.select(docs.columns)
 
 

@@ -7,8 +7,9 @@ counts at unit length. Training is by dual coordinate descent on a bounded sampl
 `per_language` rows of a language, chosen by a hash of the id.
 
 A text that is null or has no letter is `und` with score 0. Rows without a label, with a null id or without letters
-are not learned from. With `least_margin` a text whose best family margin is less is `und` with score 0 too: it looks
-like no family. A model of one family has no margins and rejects nothing. Without any labelled row every prediction is `und`. Ties go to the first language by name.
+are not learned from. With `least_margin` and `least_likeness` a text of SHORT characters or more is `und` with score 0 too
+if its best family margin and its likeness to every language are both less: it looks like nothing learned. Without any
+labelled row every prediction is `und`. Ties go to the first language by name.
 Repeated rows are predicted alike; very long texts are counted whole; an empty table gives an empty result; only the
 id, text and label columns are read.
 """
@@ -30,6 +31,7 @@ from mosaiq.llm.common import slices
 DIMENSIONS = 1 << 12
 PER_LANGUAGE = 600
 UNDETERMINED = "und"
+SHORT = 100
 #: Families of languages; any other language is a family of its own.
 FAMILIES = {
     "germanic": ("da", "de", "en", "is", "nl", "no", "sv"),
@@ -86,6 +88,7 @@ class LanguageModel:
     family_weights: np.ndarray
     languages: dict[str, tuple[str, ...]]
     pair_weights: dict[tuple[str, str], np.ndarray]
+    centres: np.ndarray
 
     @classmethod
     def fit(cls, x: np.ndarray, lang: list[str]) -> LanguageModel:
@@ -100,7 +103,8 @@ class LanguageModel:
                 for b in members[i + 1 :]:
                     rows = (lang_of == a) | (lang_of == b)
                     pairs[a, b] = train_svm(x[rows], np.where(lang_of[rows] == a, 1, -1))
-        return cls(families, np.array(weights), own, pairs)
+        means = np.array([x[lang_of == v].mean(axis=0) for v in sorted(set(lang))])
+        return cls(families, np.array(weights), own, pairs, means / np.linalg.norm(means, axis=1, keepdims=True))
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         """(language, score): the score is the logistic of the family's lead times the mean logistic of the won pairs."""
@@ -122,11 +126,14 @@ class LanguageModel:
         sure = np.mean([_logistic(4 * m) for m in votes[won][2]]) if votes[won][2] else 1.0
         return won, float(_logistic(2 * lead) * sure)
 
-
     def margin(self, x: np.ndarray) -> float:
         """The best family's margin: about 1 for a text like those learned from, about 0 for one that no family explains."""
         return float((self.family_weights @ np.append(x, np.float32(1))).max()) if len(self.families) > 1 else np.inf
 
+    def likeness(self, x: np.ndarray) -> float:
+        """The largest cosine to the mean vector of a language."""
+        return float((self.centres @ x).max())
+
 
 def _logistic(z: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
@@ -158,16 +165,19 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     return LanguageModel.fit(np.array([np.frombuffer(r["x"], np.float32) for r in rows]), [r["lang"] for r in rows])
 
 
-def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", least_margin: float | None = None) -> DataFrame:
-    """docs with lang_pred and score; texts with a family margin below least_margin are undetermined."""
+def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", least_margin: float = -np.inf, least_likeness: float = -np.inf) -> DataFrame:
+    """docs with lang_pred and score; texts below both least_margin and least_likeness are undetermined."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = StructType([*(docs.schema[c] for c in columns), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def one(t: str | None) -> tuple[str, float]:
-        if shared.value is None or (x := features(t)) is None or least_margin is not None and shared.value.margin(x) < least_margin:
+        model = shared.value
+        if model is None or (x := features(t)) is None:
+            return UNDETERMINED, 0.0
+        if len(t) >= SHORT and model.likeness(x) < least_likeness and model.margin(x) < least_margin:
             return UNDETERMINED, 0.0
-        return shared.value.predict(x)
+        return model.predict(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
