@@ -29,11 +29,13 @@ def training_sets(sources: DataFrame) -> DataFrame:
 
 
 def set_distances(segments: DataFrame, sets: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Distances of all segments to their references under the model of each training set."""
+    """Distances to the references under the model of each training set, of the rows that its thresholds and decisions need."""
     calibration = segments.filter("video_no <= 4")
     rows = calibration.join(F.broadcast(sets), (F.col("source_id") != F.col("out_a")) & (F.col("source_id") != F.col("out_b")))
     fitted = models.fit(rows.select("out_a", "out_b", models.all_streams(rows).alias("v")), F.col("v"), ["out_a", "out_b"])
-    coded = models.digests(models.scaled(segments.crossJoin(fitted)), RESNET, TEMPORAL, SPATIAL)
+    # a model serves its own calibration rows and the sources that it leaves out, nothing else
+    served = (F.col("video_no") <= 4) | (F.col("source_id") == F.col("out_a")) | (F.col("source_id") == F.col("out_b"))
+    coded = models.digests(models.scaled(segments.join(F.broadcast(fitted), served)), RESNET, TEMPORAL, SPATIAL)
     lengths = {"resnet": RESNET, "temporal": 2 * TEMPORAL, "spatial": 2 * SPATIAL}
     found = compare.distances(coded.withColumn("spatial_values", F.col("spatial")), ["out_a", "out_b", "source_id"], lengths, "spatial_values")
     return keep(found.select("out_a", "out_b", "source_id", "video_id", "video_no", "segment_id", "expected", "profile", "resnet_distance", "temporal_distance", "spatial_distance", "blur_loss"))
@@ -67,19 +69,27 @@ def profile_thresholds(scored: DataFrame, limits: DataFrame, bits: int = BITS) -
     return every.join(own, [*by, "profile"], "left").withColumn("score_threshold", F.coalesce("own", "score_threshold")).drop("own")
 
 
-def decide(scored: DataFrame, limits: DataFrame, structural: DataFrame, by: list[str], extra: list[str] = []) -> DataFrame:
-    """Videos are abnormal if any segment exceeds a threshold strictly or their structure differs."""
+def decide(scored: DataFrame, limits: DataFrame, videos: DataFrame, folds: DataFrame, by: list[str], extra: list[str] = []) -> DataFrame:
+    """Videos are abnormal if any segment exceeds a threshold strictly or their structure differs.
+
+    videos has every registered recording with its expected label and `structural`; folds says which source each model
+    judges. A recording without a compared segment has a row too, judged by its structure.
+    """
     over = (F.col("score") > F.col("score_threshold")) | (F.col("blur_loss") > F.col("blur_threshold"))
-    rows = scored.join(limits, ["out_a", "out_b", "weight_no", *extra])
-    videos = rows.groupBy(*by, "out_a", "out_b", "weight_no", "margin", "source_id", "video_id", "expected").agg(F.bool_or(over).alias("over"))
-    return videos.join(structural, ["source_id", "video_id"]).withColumn("observed", F.when(F.col("over") | F.col("structural"), "abnormal").otherwise("normal"))
+    fold = [*by, "out_a", "out_b", "source_id"]
+    rows = scored.join(folds, ["out_a", "out_b", "source_id"]).join(limits, ["out_a", "out_b", "weight_no", *extra])
+    judged = rows.groupBy(*fold, "weight_no", "margin", "video_id").agg(F.bool_or(over).alias("over"))
+    every = videos.join(folds, "source_id").join(limits.select("out_a", "out_b", "weight_no", "margin").distinct(), ["out_a", "out_b"])
+    out = every.join(judged, [*fold, "weight_no", "margin", "video_id"], "left")
+    return out.withColumn("observed", F.when(F.coalesce("over", F.lit(False)) | F.col("structural"), "abnormal").otherwise("normal"))
 
 
-def evaluate(segments: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df, two_streams: bool = False, adaptive: bool = False) -> tuple[DataFrame, DataFrame]:
+def evaluate(segments: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df, two_streams: bool = False, adaptive: bool = False, registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(selected parameters by outer fold, outer predictions).
 
     two_streams: the first version, without the spatial stream and blur loss. adaptive: outer decisions use the
-    threshold of the recording's compression profile; the parameters are selected without profiles.
+    threshold of the recording's compression profile; the parameters are selected without profiles. registry names all
+    recordings with their sources and expected labels; those without any segment are abnormal, as all are missing.
     """
     grid, bits = (TWO_STREAM_WEIGHTS, TWO_STREAM_BITS) if two_streams else (WEIGHTS, BITS)
     sources = segments.select("source_id").distinct()
@@ -88,18 +98,21 @@ def evaluate(segments: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambd
         table = table.withColumn("blur_loss", F.lit(0.0))
     scored = weighted(table, grid)
     limits = keep(thresholds(scored, bits, not two_streams))
-    structural = compare.structural_issues(segments, ["source_id"]).select("source_id", "video_id", "structural")
-    inner = scored.filter("out_a <> out_b")
+    issues = compare.structural_issues(segments, ["source_id"]).select("source_id", "video_id", "structural")
+    known = (segments if registry is None else registry).select("source_id", "video_id", "expected").distinct()
+    videos = known.join(issues, ["source_id", "video_id"], "left").withColumn("structural", F.coalesce("structural", F.lit(True)))
+    sets = training_sets(sources)
     # the pair (a, b) serves both ways: outer a with inner b, outer b with inner a
-    one = inner.withColumn("outer_out", F.col("out_a")).filter("source_id = out_b")
-    two = inner.withColumn("outer_out", F.col("out_b")).filter("source_id = out_a")
-    held = decide(one.unionByName(two), limits, structural, ["outer_out"])
+    pairs = sets.filter("out_a <> out_b")
+    folds = pairs.withColumn("outer_out", F.col("out_a")).withColumn("source_id", F.col("out_b")).unionByName(pairs.withColumn("outer_out", F.col("out_b")).withColumn("source_id", F.col("out_a")))
+    held = decide(scored.filter("out_a <> out_b"), limits, videos, folds, ["outer_out"])
     quality = evaluation.metrics(evaluation.counts(held, ["outer_out", "weight_no", "margin"]), zero=True)
     selected = keep(evaluation.best_parameters(quality, ["outer_out"], ["weight_no", "margin"]).select("outer_out", "weight_no", "margin", "balanced_accuracy", "f1"))
     whole = scored.filter("out_a = out_b")
     last = limits.filter("out_a = out_b")
     if adaptive:
         last = profile_thresholds(whole, last, bits)
-    decided = decide(whole.filter("source_id = out_a"), last, structural, [], ["profile"] if adaptive else [])
+    own = sets.filter("out_a = out_b").withColumn("source_id", F.col("out_a"))
+    decided = decide(whole.filter("source_id = out_a"), last, videos, own, [], ["profile"] if adaptive else [])
     chosen = decided.join(selected.select(F.col("outer_out").alias("out_a"), "weight_no", "margin"), ["out_a", "weight_no", "margin"])
     return selected, chosen.select(F.col("out_a").alias("held_out"), "video_id", "expected", "observed", "weight_no", "margin")

@@ -8,6 +8,10 @@ from pyspark.sql.window import Window
 
 KEYS = ["video_id", "segment_id"]
 
+# The features of adjacent frames and of single frames.
+PAIR_FEATURES = ("mad", "absdiff_std", "rmse", "changed_ratio", "p90", "edge_change")
+SHARPNESS_FEATURES = ("variance_laplacian", "tenengrad_sharpness", "edge_density", "high_frequency_dct_energy_ratio", "local_contrast")
+
 
 def segment_grid(videos: DataFrame, length: float = 5.0, keep_partial: bool = False, duration: str = "duration") -> DataFrame:
     """Complete segments of each video, and a partial last one if kept; with the processed and discarded seconds."""
@@ -45,6 +49,31 @@ def adjacent_pairs(frames: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return pairs.select(*keys, F.col("frame_index").alias("pair_index"), ok.alias("ok"), change.alias("change"), F.when(ok, (F.col("ts_s") + F.col("next_ts_s")) / 2).alias("middle_s"))
 
 
+def pair_counts(pairs: DataFrame, expected: Column, keys: list[str] = KEYS) -> DataFrame:
+    """Pairs that the sampling grid expects, that succeeded and failed, and that are missing of the expected; never below 0."""
+    out = pairs.groupBy(*keys).agg(F.max(expected).cast("bigint").alias("expected_pairs"), F.count_if("ok").alias("successful_pairs"), F.count_if(~F.col("ok")).alias("failed_pairs"))
+    return out.withColumn("missing_pairs", F.greatest(F.col("expected_pairs") - F.col("successful_pairs"), F.lit(0)).cast("bigint"))
+
+
+def wide(rows: DataFrame, features: list[str], statistics: tuple[str, ...], keys: list[str] = KEYS) -> DataFrame:
+    """Statistics of several feature columns side by side, named <statistic>_<feature>: one pass, one row a segment.
+
+    Null features do not count; a segment without any row has none here.
+    """
+    how = {"mean": F.avg, "std": F.stddev_pop, "standard_deviation": F.stddev_pop, "minimum": F.min, "max": F.max, "p10": lambda c: F.percentile(c, 0.1), "median": lambda c: F.percentile(c, 0.5)}
+    return rows.groupBy(*keys).agg(*(how[s](F.col(f)).alias(f"{s}_{f}") for s in statistics for f in features))
+
+
+def temporal_vector(pairs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """The 18 values of a segment's adjacent-frame changes: means, deviations, then largest values of six features."""
+    return wide(pairs, list(PAIR_FEATURES), ("mean", "std", "max"), keys)
+
+
+def sharpness_vector(frames: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """The 25 values of a segment's sharpness: five statistics of five measures."""
+    return wide(frames, list(SHARPNESS_FEATURES), ("mean", "standard_deviation", "minimum", "p10", "median"), keys)
+
+
 def pair_features(pairs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Mean, population deviation and largest change, with pair counts: expected, decoded and failed."""
     return pairs.groupBy(*keys).agg(
