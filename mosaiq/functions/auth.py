@@ -118,3 +118,14 @@ def verify(payload: Column, tag: Column, path: str | None = None, variable: str
         return pd.Series([one(v, t) for v, t in zip(values, tags)], dtype=bool)
 
     return check(payload, tag)
+
+
+def mentions_key(text: Column, path: str | None = None, variable: str | None = None) -> Column:
+    """Whether a text holds the key in hexadecimal, in either case. The key is read on the workers and is in no plan."""
+
+    @F.pandas_udf("boolean")
+    def check(values: pd.Series) -> pd.Series:
+        key = load_key(path, variable).hex()
+        return values.map(lambda v: v is not None and key in v.lower()).astype(bool)
+
+    return check(text)

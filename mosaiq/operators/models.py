@@ -67,3 +67,12 @@ def bit_statistics(rows: DataFrame, bits: str, by: list[str]) -> DataFrame:
 def with_model(rows: DataFrame, models: DataFrame, by: list[str]) -> DataFrame:
     """Every row with every model (by empty: a model a training set), or with its own model. The models are a few rows of arrays."""
     return rows.crossJoin(models) if not by else rows.join(models, by)
+
+
+def digest_summary(coded: DataFrame, by: list[str], streams: tuple[str, ...] = STREAMS) -> DataFrame:
+    """Ones, zeros and share of ones of each stream's bits and of all together, in long form: one pass over the digests."""
+    bits = {**{s: F.col(f"{s}_bits") for s in streams}, "hybrid": F.concat(*(f"{s}_bits" for s in streams))}
+    parts = F.array(*(F.struct(F.lit(n).alias("stream"), F.aggregate(c, F.lit(0), lambda a, b: a + b).alias("ones"), F.size(c).alias("n")) for n, c in bits.items()))
+    rows = coded.select(*by, F.explode(parts).alias("p")).select(*by, "p.*")
+    out = rows.groupBy(*by, "stream").agg(F.sum("ones").alias("ones"), (F.sum("n") - F.sum("ones")).alias("zeros"))
+    return out.withColumn("one_ratio", F.try_divide(F.col("ones").cast("double"), F.col("ones") + F.col("zeros")))

@@ -43,3 +43,25 @@ def segment_times(features: DataFrame, first: DataFrame, second: DataFrame, vide
     b = second.select(video, "segment_id", F.col("start_s").alias("_b"))
     joined = features.join(has, video, "left").join(a, [video, "segment_id"], "left").join(b, [video, "segment_id"], "left")
     return joined.withColumn("start_s", F.when(F.coalesce("_first", F.lit(False)), F.col("_a")).otherwise(F.col("_b"))).drop("_first", "_a", "_b")
+
+
+def confusion_guard(predictions: DataFrame, rows: int, tp: int, tn: int, fp: int, fn: int) -> DataFrame:
+    """Rules that a final table keeps: its number of rows and its confusion counts."""
+    cell = lambda e, o: F.count_if((F.col("expected") == e) & (F.col("observed") == o))
+    wanted = {"rows": (F.count(F.lit(1)), rows), "tp": (cell("abnormal", "abnormal"), tp), "tn": (cell("normal", "normal"), tn), "fp": (cell("normal", "abnormal"), fp), "fn": (cell("abnormal", "normal"), fn)}
+    found = predictions.agg(*(c.alias(k) for k, (c, _) in wanted.items()))
+    off = found.select(*(F.abs(F.col(k) - n).cast("bigint").alias(k) for k, (_, n) in wanted.items()))
+    return off.unpivot([], list(wanted), "rule", "violations").withColumn("passed", F.col("violations") == 0)
+
+
+def require(outcome: DataFrame) -> DataFrame:
+    """The rules' outcome, or an error that names the first broken one when the rows are read."""
+    broken = F.raise_error(F.concat(F.lit("rule broken: "), "rule")).cast("boolean")
+    return outcome.withColumn("passed", F.when(F.col("passed"), F.lit(True)).otherwise(broken))
+
+
+def complete_segments(manifest: DataFrame, length: float = 5.0, fps: float = 1.0) -> DataFrame:
+    """Ids of complete segments; a manifest of another segment length or sampling rate is an error when it is read."""
+    same = (F.col("segment_length_seconds") == length) & (F.col("sample_fps") == fps)
+    checked = F.when(F.coalesce(same, F.lit(False)), F.col("segment_id")).otherwise(F.raise_error(F.concat(F.lit("unexpected sampling of "), "video_id")).cast("int"))
+    return manifest.withColumn("segment_id", checked).filter("is_complete").select("video_id", "segment_id")

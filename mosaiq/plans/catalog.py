@@ -796,22 +796,23 @@ def segment_timeline(spark, d):
     return _distances(spark, d).select("video_id", "segment_id", r6("balanced").alias("score"), place.alias("place"))
 
 
-@query("WITH " + O.REG + " SELECT video_id, coalesce(width,0)||'x'||coalesce(height,0) AS resolution FROM rg")
+@query("WITH " + O.REG + " SELECT video_id, coalesce(size/1000.0::DOUBLE,0) AS duration, coalesce(width,0)||'x'||coalesce(height,0) AS resolution, coalesce(CASE fps_text WHEN '30/1' THEN 30.0::DOUBLE WHEN '30000/1001' THEN round(30000/1001::DOUBLE,6) WHEN '25/1' THEN 25 WHEN '24' THEN 24 END,0) AS fps, round(coalesce(size*8/1e6,0),6) AS mbps FROM rg")
 def metadata_overview(spark, d):
-    r = A.registry(spark, d).withColumn("duration", F.lit(None).cast("double")).withColumn("fps", S.frame_rate(F.col("fps_text"))).withColumn("bit_rate", F.col("size") * 8.0)
-    return reports.overview(r).select("video_id", "resolution")
+    r = A.registry(spark, d).withColumn("duration", F.col("size") / 1000.0).withColumn("fps", S.frame_rate(F.col("fps_text"))).withColumn("bit_rate", F.col("size") * 8.0)
+    return reports.overview(r).withColumn("fps", r6("fps")).withColumn("mbps", r6("mbps"))
 
 
 # --- validation and further reports ----------------------------------------------------------------------------------
 
 
-@query("WITH " + O.DIST + " SELECT * FROM (VALUES ('unit_interval'),('self_distance_zero'),('hybrid_is_sum'),('unique_segments')) t(rule), (SELECT 0::BIGINT AS violations, TRUE AS passed)")
+@query("WITH " + O.DIST + """, vi AS (SELECT count(*) FILTER (NOT (dr BETWEEN 0 AND 1 AND dt BETWEEN 0 AND 1 AND ds BETWEEN 0 AND 1)) a, count(*) FILTER (video_no=0 AND (dr>0 OR dt>0 OR ds>0)) b, count(*) FILTER (hybrid_raw<>round(dr*40)+round(dt*24)+round(ds*24)) c, count(*)-count(DISTINCT (video_id, segment_id)) d FROM dd),
+ ru AS (SELECT unnest(['unit_interval','self_distance_zero','hybrid_is_sum','unique_segments']) AS rule, unnest([a,b,c,d])::BIGINT AS violations FROM vi) SELECT rule, violations, violations=0 AS passed FROM ru""")
 def output_validation(spark, d):
     both = _digests(spark, d).withColumn("hybrid_bits", F.concat("resnet_bits", "temporal_bits", "spatial_bits"))
     return validation.distance_rules(compare.distances(both, ["source_id"], BITS | {"hybrid": sum(BITS.values())}))
 
 
-@query("WITH " + O.SV + " SELECT source_id, count(*)::BIGINT AS rows, 40::INT AS resnet_size, 12::INT AS temporal_size, 12::INT AS spatial_size, TRUE AS finite FROM sv GROUP BY 1")
+@query("WITH " + O.SV + " SELECT source_id, count(*)::BIGINT AS rows, max(len(embedding[1:40]))::INT AS resnet_size, max(len(embedding[41:52]))::INT AS temporal_size, max(len(embedding[53:64]))::INT AS spatial_size, bool_and(isfinite(list_sum(embedding)) AND isfinite(list_sum(list_transform(embedding, lambda x: abs(x))))) AS finite FROM sv GROUP BY 1")
 def feature_inventory(spark, d):
     return validation.inventory(A.seg_vectors(spark, d), ["resnet", "temporal", "spatial"], ["source_id"])
 

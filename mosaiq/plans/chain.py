@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mosaiq.functions import scalars as S
-from mosaiq.operators import chain, segments
+from mosaiq.operators import chain, models, segments
 from mosaiq.plans import oracle_parts as O
 from mosaiq.plans.catalog import _SEGDEC_SQL, BITS, _digests, _distances, _loso, _pairs, _registry, _structural, query, r6
 from mosaiq.sources import adapters as A
@@ -133,6 +133,11 @@ def inventory_with_summary(spark, d):
     return chain.suffixed_join(_recordings(spark, d).select("video_id", "category"), _video_scores(spark, d).select("video_id", "category", "score"), ["video_id"], "inner")
 
 
+@query("WITH " + O.CODE + ", dg AS (SELECT source_id, CASE WHEN pos<=40 THEN 'resnet' WHEN pos<=52 THEN 'temporal' ELSE 'spatial' END AS stream, bit_count(c) AS ones, CASE WHEN pos<=40 THEN 1 ELSE 2 END AS n FROM code), dh AS (SELECT * FROM dg UNION ALL SELECT source_id, 'hybrid', ones, n FROM dg) SELECT source_id, stream, sum(ones)::BIGINT AS ones, sum(n-ones)::BIGINT AS zeros, round(sum(ones)/sum(n)::DOUBLE,6) AS one_ratio FROM dh GROUP BY 1,2")
+def digest_summary(spark, d):
+    return models.digest_summary(_digests(spark, d), ["source_id"]).withColumn("one_ratio", r6("one_ratio"))
+
+
 # --- wide aggregates -------------------------------------------------------------------------------------------------
 
 

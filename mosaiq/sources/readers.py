@@ -23,6 +23,8 @@ PROBE = (
 )
 SEGMENTS = "video_id string, source_video_path string, segment_length_seconds double, segments array<struct<segment_id: int, start_seconds: double, end_seconds: double, duration_seconds: double, is_complete: boolean, expected_sample_count: int>>"
 FRAMES = "video_id string, frames array<struct<segment_id: int, frame_index: int, timestamp_seconds: double, frame_path: string, success: boolean, error: string>>"
+METADATA = "file_name string, absolute_path string, file_size_bytes bigint, duration_seconds double, width int, height int, resolution string, average_frame_rate string, frame_rate_fps double, codec_name string, codec_long_name string, pixel_format string, bitrate bigint, container_format string, number_video_streams int, number_audio_streams int, estimated_frame_count bigint, can_open_successfully boolean, extraction_timestamp string"
+VALIDATION = "source_count bigint, video_count bigint, valid_video_count bigint, corrupt_video_count bigint, category_counts struct<reference: bigint, benign: bigint, tampered: bigint>"
 RECORD = "schema_version string, video_id string, payload string, payload_sha256 string, algorithm string, key_id string, key_fingerprint string, tag string"
 
 
@@ -123,6 +125,23 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).option("multiLine", "true").json(path)
 
 
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Stored metadata, one JSON object a file; a file that is no such object is an error."""
+    return spark.read.schema(METADATA).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+
+
+def dataset_validation(spark: SparkSession, path: str) -> DataFrame:
+    """Counts of a stored validation report; absent fields are null, and without a report there is no row."""
+    names = {"source_count": "sources", "video_count": "total_videos", "valid_video_count": "valid_videos", "corrupt_video_count": "corrupt"}
+    try:
+        rows = spark.read.schema(VALIDATION).option("multiLine", "true").json(path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = spark.createDataFrame([], VALIDATION)
+    return rows.select(*(F.col(c).alias(n) for c, n in names.items()), *(F.col(f"category_counts.{c}").alias(c) for c in ("reference", "benign", "tampered")))
+
+
 def npz(spark: SparkSession, path: str) -> DataFrame:
     """Arrays of NPZ files, one row a file and array: dtype, shape and little-endian values; no pickled objects."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", "true").load(path).select("path", "content")

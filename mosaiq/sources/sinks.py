@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from functools import reduce
@@ -74,3 +75,29 @@ def work_list(inputs: DataFrame, manifest: DataFrame, key: str = "video_id") ->
     clash = F.col("_stored").isNotNull() & (F.col("_stored") != F.col("cache_key"))
     checked = joined.withColumn("_stored", F.when(clash, F.raise_error(F.concat(F.lit("cache key differs for "), F.col(key).cast("string")))).otherwise(F.col("_stored")))
     return checked.filter(F.col("_stored").isNull()).drop("_stored")
+
+
+def checksum(df: DataFrame) -> DataFrame:
+    """One row: the number of rows and a sum of row hashes, equal for equal rows in any order and partitioning."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("checksum"))
+
+
+def manifest(artifacts: dict[str, DataFrame], source: str, parameters: dict, warnings: list[str] = []) -> DataFrame:
+    """Provenance of stored tables: a row each with its rows, checksum, columns, source, parameters and warnings."""
+    text = json.dumps(parameters, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    told = F.array(*map(F.lit, warnings)) if warnings else F.array().cast("array<string>")
+    rows = [checksum(df).select(F.lit(name).alias("artifact"), "rows", "checksum", F.lit(df.schema.simpleString()).alias("columns"), F.lit(source).alias("source"), F.lit(text).alias("parameters"), told.alias("warnings"), F.current_timestamp().alias("created")) for name, df in artifacts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def changed(artifacts: dict[str, DataFrame], stored: DataFrame) -> DataFrame:
+    """Artifacts whose rows, checksum or columns differ from the stored manifest's, or that it lacks; none if all is well."""
+    now = manifest(artifacts, "", {}).select("artifact", *(F.col(c).alias(f"_{c}") for c in ("rows", "checksum", "columns")))
+    joined = now.join(stored, "artifact", "left")
+    reason = F.when(F.col("rows").isNull(), "not in the manifest").when(F.col("columns") != F.col("_columns"), "columns").when(F.col("rows") != F.col("_rows"), "rows").when(F.col("checksum") != F.col("_checksum"), "checksum")
+    return joined.select("artifact", reason.alias("reason")).filter("reason is not null")
+
+
+def inspect(table: DataFrame, key: str, value: str, columns: list[str]) -> DataFrame:
+    """A read-only view of one stored recording; filter and columns reach the scan."""
+    return table.filter(F.col(key) == value).select(key, *columns)
