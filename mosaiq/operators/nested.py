@@ -35,7 +35,7 @@ def set_distances(segments: DataFrame, sets: DataFrame, keep: Callable[[DataFram
     fitted = models.fit(rows.select("out_a", "out_b", models.all_streams(rows).alias("v")), F.col("v"), ["out_a", "out_b"])
     # a model serves its own calibration rows and the sources that it leaves out, nothing else
     served = (F.col("video_no") <= 4) | (F.col("source_id") == F.col("out_a")) | (F.col("source_id") == F.col("out_b"))
-    coded = models.digests(models.scaled(segments.join(F.broadcast(fitted), served)), RESNET, TEMPORAL, SPATIAL)
+    coded = models.digests(models.scaled(segments.join(fitted, served)), RESNET, TEMPORAL, SPATIAL)
     lengths = {"resnet": RESNET, "temporal": 2 * TEMPORAL, "spatial": 2 * SPATIAL}
     found = compare.distances(coded.withColumn("spatial_values", F.col("spatial")), ["out_a", "out_b", "source_id"], lengths, "spatial_values")
     return keep(found.select("out_a", "out_b", "source_id", "video_id", "video_no", "segment_id", "expected", "profile", "resnet_distance", "temporal_distance", "spatial_distance", "blur_loss"))
