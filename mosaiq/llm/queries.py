@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import bpe, chosen_path, compact_windows, decontam, langid, line_chunks, sharding, sketch, suffix_dedup, token_store
+from mosaiq.llm import bpe, chosen_path, compact_windows, decontam, langid, line_chunks, sharding, sketch, suffix_dedup, token_store, turn_repair
 from mosaiq.llm.common import read_table, table_path
 
 
@@ -66,6 +66,11 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "lines_removed", "spans_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_edit_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = turn_repair.damage(read_table(spark, sf_dir, "conversations"))
+    return turn_repair.digests(turn_repair.repair(damaged, dropped=F.col("dropped")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
