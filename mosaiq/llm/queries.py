@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import bpe, chosen_path, compact_windows, decontam, langid, line_chunks, sharding, sketch, suffix_dedup, token_store, turn_repair
+from mosaiq.llm import bpe, chosen_path, compact_windows, decontam, langid, line_chunks, sharding, sketch, suffix_dedup, sync_runs, token_store, turn_repair
 from mosaiq.llm.common import read_table, table_path
 
 
@@ -71,6 +71,17 @@ def op11_edit_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.digests(turn_repair.repair(damaged, dropped=F.col("dropped")))
 
 
+def op13_sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sync_runs.planted(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = sync_runs.find(docs).withColumn("top", sync_runs.longest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))))
+    said = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    top = [F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")]
+    exponent = F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli")
+    digests = F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *top, exponent, *digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
