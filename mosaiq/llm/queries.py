@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import bpe, chosen_path, compact_windows, decontam, langid, line_chunks, sharding, sketch, suffix_dedup, sync_runs, token_store, turn_repair
-from mosaiq.llm.common import read_table, table_path
+from mosaiq.llm import bpe, chosen_path, compact_windows, decontam, langid, line_chunks, nb_svm, sharding, sketch, suffix_dedup, sync_runs, token_store, turn_repair
+from mosaiq.llm.common import materialize, read_table, table_path
 
 
 def op4_family_then_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,13 @@ def op11_edit_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.digests(turn_repair.repair(damaged, dropped=F.col("dropped")))
 
 
+def op12_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = materialize(nb_svm.featurize(read_table(spark, sf_dir, "documents")), "quality-features")
+    model = nb_svm.train(found, read_table(spark, sf_dir, "labels"), learn=~nb_svm.held_out())
+    scored = nb_svm.score(found, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", nb_svm.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op13_sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sync_runs.planted(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = sync_runs.find(docs).withColumn("top", sync_runs.longest(F.col("runs")))
