@@ -6,16 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mosaiq.operators import order_stats
+
 METRICS = ("accuracy", "precision", "recall", "f1", "specificity", "balanced_accuracy", "far", "frr")
 
 
-def mad_threshold(rows: DataFrame, value: str, by: list[str], margin: Column | float, resolution: float) -> DataFrame:
-    """min(1, max(0, max + max(margin * MAD, resolution))) of each group; MAD by a second percentile pass over the group's median."""
-    margin = F.lit(float(margin)) if not isinstance(margin, Column) else margin
-    medians = rows.groupBy(*by).agg(F.percentile(value, 0.5).alias("_median"))
-    spread = rows.join(medians, by) if by else rows.crossJoin(medians)
-    out = spread.groupBy(*by).agg(F.max(value).alias("largest"), F.percentile(F.abs(F.col(value) - F.col("_median")), 0.5).alias("mad"), F.count(value).alias("n"))
-    return out.withColumn("threshold", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("largest") + F.greatest(margin * F.col("mad"), F.lit(resolution)))))
+def with_threshold(found: DataFrame, margin: Column | float, resolution: Column | float) -> DataFrame:
+    """min(1, max(0, largest + max(margin * MAD, resolution))) of rows of order_stats.spread; 1 where there are no values."""
+    margin, resolution = (c if isinstance(c, Column) else F.lit(float(c)) for c in (margin, resolution))
+    robust = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("largest") + F.greatest(margin * F.col("mad"), resolution)))
+    return found.withColumn("threshold", F.when(F.col("n") == 0, 1.0).otherwise(robust))
+
+
+def mad_threshold(rows: DataFrame, value: str, by: list[str], margin: Column | float, resolution: Column | float) -> DataFrame:
+    """The robust threshold of each group; margin and resolution may be columns of `by`."""
+    return with_threshold(order_stats.spread(rows, value, by), margin, resolution)
+
+
+def fold_thresholds(rows: DataFrame, value: str, by: list[str], margin: Column | float, resolution: Column | float, group: str = "source_id", held_out: str = "held_out", groups: list | None = None) -> DataFrame:
+    """The robust threshold of each fold, from the rows of all groups but the held-out one: no row meets a fold."""
+    found = order_stats.spread(rows, value, by, group=group, leave_out=1, groups=groups).drop("out_b")
+    return with_threshold(found.withColumnRenamed("out_a", held_out), margin, resolution)
 
 
 def fold_rows(rows: DataFrame, groups: DataFrame, group: str = "source_id", held_out: str = "held_out") -> DataFrame:

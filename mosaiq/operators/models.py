@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.functions import vectors as V
+from mosaiq.operators import order_stats
 
 STREAMS = ("resnet", "temporal", "spatial")
 
@@ -17,11 +18,20 @@ def all_streams(rows: DataFrame) -> Column:
 def fit(rows: DataFrame, vector: Column, by: list[str], epsilon: float = V.EPSILON) -> DataFrame:
     """One row for each training set: quartiles, median, range and safe scale of every dimension, as arrays.
 
-    Exact percentiles by dimension; the shuffle holds one value a row and dimension.
+    Exact quantiles by dimension, from counts of ranges; NaN and infinite values are an error.
     """
     cells = rows.select(*by, F.posexplode(vector).alias("pos", "v"))
-    q = cells.groupBy(*by, "pos").agg(F.percentile(F.col("v").cast("double"), [0.25, 0.5, 0.75]).alias("q"), F.count("v").alias("n"))
-    packed = q.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "q", "n"))).alias("s"))
+    return _packed(order_stats.quantiles(cells, "v", [*by, "pos"], [0.25, 0.5, 0.75]), by, epsilon)
+
+
+def fit_without(rows: DataFrame, vector: Column, group: str, groups: list, leave_out: int, epsilon: float = V.EPSILON) -> DataFrame:
+    """As fit, for every set of all groups but one (leave_out 1), or but one and but two (2): out_a, out_b name what is left out."""
+    cells = rows.select(group, F.posexplode(vector).alias("pos", "v"))
+    return _packed(order_stats.quantiles(cells, "v", ["pos"], [0.25, 0.5, 0.75], group=group, groups=groups, leave_out=leave_out), ["out_a", "out_b"], epsilon)
+
+
+def _packed(q: DataFrame, by: list[str], epsilon: float) -> DataFrame:
+    packed = q.filter("n > 0").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "q", "n"))).alias("s"))
     iqr = F.transform("s", lambda x: x["q"][2] - x["q"][0])
     return packed.select(
         *by,

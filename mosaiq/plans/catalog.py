@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from mosaiq.functions import auth
 from mosaiq.functions import scalars as S
 from mosaiq.functions import vectors as V
-from mosaiq.operators import compare, evaluation, models, nested, records, reports, segments, validation
+from mosaiq.operators import compare, evaluation, models, nested, order_stats, records, reports, segments, validation
 from mosaiq.plans import oracle_parts as O
 from mosaiq.sources import adapters as A
 
@@ -182,13 +182,12 @@ def _stream_values(rows: DataFrame) -> DataFrame:
 
 def _stream_thresholds(rows: DataFrame, by: list[str]) -> DataFrame:
     """Robust thresholds by stream with the stream's own resolution, margin 3."""
-    base = evaluation.mad_threshold(rows, "val", [*by, "stream", "res"], 3.0, 0.0)
-    return base.withColumn("threshold", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("largest") + F.greatest(3.0 * F.col("mad"), F.col("res")))))
+    return evaluation.mad_threshold(rows, "val", [*by, "stream", "res"], 3.0, F.col("res"))
 
 
 @query("WITH " + O.DIST + _STREAM_SQL + f", md AS (SELECT stream, median(val) md FROM u WHERE {_BENIGN} GROUP BY 1), mm AS (SELECT stream, max(val) mx, median(abs(val-md)) mad, max(res) res, count(*) n FROM u JOIN md USING (stream) WHERE {_BENIGN} GROUP BY 1) SELECT stream, round(mx,6) largest, round(mad,6) mad, n::BIGINT AS n, round(least(1,greatest(0,mx+greatest(3*mad,res))),6) AS threshold FROM mm")
 def pooled_thresholds(spark, d):
-    rows = _stream_values(_distances(spark, d)).filter("video_no between 1 and 4")
+    rows = _stream_values(_keep(spark)(_distances(spark, d))).filter("video_no between 1 and 4")
     return _stream_thresholds(rows, []).select("stream", r6("largest").alias("largest"), r6("mad").alias("mad"), "n", r6("threshold").alias("threshold"))
 
 
@@ -196,16 +195,17 @@ _LOSO_SQL = O.DIST + _STREAM_SQL + f""", fo AS (SELECT h.held_out, u.* FROM (SEL
  md AS (SELECT held_out, stream, median(val) md FROM fo GROUP BY 1,2), th AS (SELECT held_out, stream, least(1,greatest(0,max(val)+greatest(3*median(abs(val-md)),max(res)))) threshold, count(*) n FROM fo JOIN md USING (held_out, stream) GROUP BY 1,2)"""
 
 
-def _loso(spark, d, rows=None):
-    rows = _distances(spark, d) if rows is None else rows
-    values = _stream_values(rows)
-    folds = evaluation.fold_rows(values.filter("video_no between 1 and 4"), rows.select("source_id").distinct())
-    return rows, _stream_thresholds(folds, ["held_out"]), folds
+def _loso(spark, d):
+    """The distances, written once, and the thresholds of each fold and stream from the calibration rows of all other sources."""
+    rows = _keep(spark)(_distances(spark, d))
+    sources = sorted(r[0] for r in rows.select("source_id").distinct().collect())  # one a fold
+    values = _stream_values(rows.filter("video_no between 1 and 4"))
+    return rows, evaluation.fold_thresholds(values, "val", ["stream", "res"], 3.0, F.col("res"), groups=sources)
 
 
 @query("WITH " + _LOSO_SQL + " SELECT 'LOSO_'||replace(held_out,'SRC_','') AS fold_id, stream, n::BIGINT AS n, round(threshold,6) threshold FROM th")
 def loso_thresholds(spark, d):
-    _, limits, _ = _loso(spark, d)
+    _, limits = _loso(spark, d)
     return limits.select(S.fold_id(F.col("held_out")).alias("fold_id"), "stream", "n", r6("threshold").alias("threshold"))
 
 
@@ -215,7 +215,7 @@ _SEGDEC_SQL = _LOSO_SQL + O.STRUCT + """, tw AS (SELECT held_out, max(threshold)
 
 
 def _decisions(spark, d, structural: bool = True):
-    rows, limits, _ = _loso(spark, d)
+    rows, limits = _loso(spark, d)
     wide = limits.groupBy("held_out").pivot("stream", ["resnet", "temporal", "balanced"]).agg(F.first("threshold")).select(F.col("held_out").alias("source_id"), *(F.col(s).alias(f"t_{s}") for s in ("resnet", "temporal", "balanced")))
     found = rows.join(F.broadcast(wide), "source_id").join(_structural(spark, d), ["source_id", "video_id"])
     over = [F.col("resnet_distance") > F.col("t_resnet"), F.col("temporal_distance") > F.col("t_temporal"), F.col("balanced") > F.col("t_balanced")]
@@ -264,7 +264,7 @@ _TWO_SQL = _sets_sql("(0,0.5::DOUBLE,0.5::DOUBLE,0.0::DOUBLE),(1,0.7,0.3,0.0),(2
 
 
 def _keep(spark):
-    """A written table in the shared folder cuts the plan where one is set; else the plan stays whole."""
+    """Cuts the plan by a written table in the shared folder."""
     from mosaiq.sources.sinks import stage_table
 
     return lambda df: stage_table(df, "nested")
@@ -299,9 +299,8 @@ def nested_predictions_adaptive(spark, d):
 
 @query("WITH " + O.DIST + f", bv AS (SELECT video_id, video_no, source_id, bal FROM dd WHERE {_BENIGN}), fo AS (SELECT h.video_no AS left_out, b.* FROM (SELECT DISTINCT video_no FROM bv) h JOIN bv b ON b.video_no<>h.video_no), md AS (SELECT left_out, median(bal) md FROM fo GROUP BY 1), th AS (SELECT left_out, least(1,greatest(0,max(bal)+greatest(3*median(abs(bal-md)),0.5/40+0.5/24))) t FROM fo JOIN md USING (left_out) GROUP BY 1) SELECT left_out AS left_out_no, round(t,6) AS threshold, count(*) FILTER (bal>t)::BIGINT AS exceeding, count(*)::BIGINT AS segments FROM bv JOIN th ON th.left_out=bv.video_no GROUP BY 1,2")
 def leave_one_benign_out(spark, d):
-    rows = _distances(spark, d).filter("video_no between 1 and 4")
-    folds = evaluation.fold_rows(rows, rows.select("video_no").distinct(), "video_no", "left_out_no")
-    t = evaluation.mad_threshold(folds, "balanced", ["left_out_no"], 3.0, 0.5 / 40 + 0.5 / 24).select("left_out_no", "threshold")
+    rows = _keep(spark)(_distances(spark, d).filter("video_no between 1 and 4"))
+    t = evaluation.fold_thresholds(rows, "balanced", [], 3.0, 0.5 / 40 + 0.5 / 24, "video_no", "left_out_no").select("left_out_no", "threshold")
     out = rows.withColumnRenamed("video_no", "left_out_no").join(t, "left_out_no")
     return out.groupBy("left_out_no", r6("threshold").alias("threshold")).agg(F.count_if(F.col("balanced") > F.col("threshold")).alias("exceeding"), F.count(F.lit(1)).alias("segments"))
 
@@ -447,13 +446,16 @@ _PN = _PH + """, pv AS (SELECT 'S'||(g%6) AS source_id, g AS video_id, CASE WHEN
 @query("WITH " + _PN + " SELECT th.outer_out AS held_out, pv.video_id, th.margin, round(t,6) AS threshold, CASE WHEN bad OR video_score>t THEN 'abnormal' ELSE 'normal' END observed FROM th JOIN sel ON sel.outer_out=th.outer_out AND sel.margin=th.margin JOIN pv ON pv.source_id=th.outer_out WHERE th.inner_out=th.outer_out")
 def phash_nested_loso(spark, d):
     """The margin is selected inside the training sources of each fold; thresholds exclude the held-out source. Bad evidence is abnormal."""
-    v = _hash_decisions(spark, d)
+    v = _keep(spark)(_hash_decisions(spark, d))
     v = v.select(F.concat(F.lit("S"), (F.col("g") % 6).cast("string")).alias("source_id"), F.col("g").alias("video_id"), F.when(F.col("g") % 3 == 0, "abnormal").otherwise("normal").alias("expected"), "video_score", (F.col("structural") | F.col("invalid")).alias("bad"))
-    src = v.select("source_id").distinct()
-    sets = src.withColumnRenamed("source_id", "outer_out").crossJoin(src.withColumnRenamed("source_id", "inner_out"))
-    train = v.filter("expected = 'normal' and video_score is not null").join(F.broadcast(sets), (F.col("source_id") != F.col("outer_out")) & (F.col("source_id") != F.col("inner_out"))).select("*", F.explode(F.lit([1.5, 3.0])).alias("margin"))
-    by = ["outer_out", "inner_out", "margin"]
-    limits = evaluation.mad_threshold(train, "video_score", by, F.col("margin"), 1 / 64).select(*by, "threshold")
+    sources = sorted(r[0] for r in v.select("source_id").distinct().collect())  # one a fold
+    train = v.filter("expected = 'normal' and video_score is not null")
+    found = order_stats.spread(train, "video_score", [], group="source_id", leave_out=2, groups=sources).filter("n > 0")
+    limits = evaluation.with_threshold(found.select("*", F.explode(F.lit([1.5, 3.0])).alias("margin")), F.col("margin"), 1 / 64)
+    # the set without a and b serves both ways
+    way = lambda a, b: F.struct(F.col(a).alias("outer_out"), F.col(b).alias("inner_out"))
+    ways = F.when(F.col("out_a") == F.col("out_b"), F.array(way("out_a", "out_b"))).otherwise(F.array(way("out_a", "out_b"), way("out_b", "out_a")))
+    limits = limits.select(F.explode(ways).alias("w"), "margin", "threshold").select("w.*", "margin", "threshold")
     verdict = F.when(F.col("bad") | (F.col("video_score") > F.col("threshold")), "abnormal").otherwise("normal")
     inner = limits.filter("inner_out <> outer_out").join(v, F.col("inner_out") == F.col("source_id")).withColumn("observed", verdict)
     quality = evaluation.metrics(evaluation.counts(inner, ["outer_out", "margin"]))
@@ -784,7 +786,7 @@ def runtime_by_source(spark, d):
 
 @query("WITH " + _LOSO_SQL + ", mv AS (SELECT source_id, video_id, max(bal) mx FROM dd GROUP BY 1,2) SELECT video_id, round(mx,6) AS max_value, round(threshold,6) AS threshold, mx>threshold AS exceeds FROM mv JOIN th ON th.held_out=mv.source_id AND th.stream='balanced'")
 def max_with_fold_threshold(spark, d):
-    rows, limits, _ = _loso(spark, d)
+    rows, limits = _loso(spark, d)
     top = rows.groupBy("source_id", "video_id").agg(F.max("balanced").alias("max_value"))
     out = reports.with_fold_threshold(top, limits.filter("stream = 'balanced'").select("held_out", "threshold"))
     return out.select("video_id", r6("max_value").alias("max_value"), r6("threshold").alias("threshold"), "exceeds")
@@ -832,7 +834,7 @@ _POOLED = O.DIST + _STREAM_SQL + f""", md AS (SELECT stream, median(val) md FROM
 @query("WITH " + _POOLED + " SELECT video_id, segment_id, CASE WHEN dr>tr AND dt>tt THEN 'both_streams' WHEN dr>tr THEN 'resnet_only' WHEN dt>tt THEN 'temporal_only' WHEN bal>tb AND dr>dt THEN 'resnet_only' WHEN bal>tb AND dt>dr THEN 'temporal_only' WHEN bal>tb THEN 'both_streams' ELSE 'none' END AS attribution FROM dd, tw")
 def pooled_decisions(spark, d):
     """Decisions with one threshold a stream for all sources; an even balanced excess goes to both streams."""
-    rows = _distances(spark, d)
+    rows = _keep(spark)(_distances(spark, d))
     t = _stream_thresholds(_stream_values(rows).filter("video_no between 1 and 4"), [])
     wide = t.agg(*(F.max(F.when(F.col("stream") == s, F.col("threshold"))).alias(f"t_{s}") for s in ("resnet", "temporal", "balanced")))
     found = rows.crossJoin(F.broadcast(wide))  # one row

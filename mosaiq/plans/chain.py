@@ -100,7 +100,7 @@ def comparison_gate(spark, d):
  SELECT source_id, video_id, k::BIGINT AS training_sources, CASE WHEN k<3 THEN 'insufficient_sources' ELSE 'ok' END AS fold_status, expected, observed, expected=observed AS correct, coalesce(segs,'') AS abnormal_segments, f::BIGINT AS findings, round(mr,6) AS max_resnet, round(mt,6) AS max_temporal, round(ms,6) AS max_score, CASE WHEN observed='failed' THEN 'none' ELSE coalesce(attribution,'none') END AS main_attribution FROM ob LEFT JOIN am USING (video_id), ns""")
 def loso_video_predictions(spark, d):
     """A prediction for every registered recording under its source's fold; what the gate refuses is `failed`."""
-    rows, limits, _ = _loso(spark, d)
+    rows, limits = _loso(spark, d)
     wide = limits.groupBy("held_out").agg(*(F.max(F.when(F.col("stream") == s, F.col("threshold"))).alias(f"t_{s}") for s in ("resnet", "temporal", "balanced"))).withColumnRenamed("held_out", "source_id")
     allowed = _gated(spark, d).filter("reason is null").select("video_id")
     issues = _structural(spark, d).withColumn("findings", F.col("missing_segments") + F.col("extra_segments"))

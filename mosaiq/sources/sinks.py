@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a temporary folder only where none is set."""
+    """spark.checkpoint.dir, which all executors share. Where none is set, a temporary folder, in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="mosaiq-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -24,7 +26,16 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df in the shared folder and read it again: later plans start from the files."""
     path = f"{shared_folder(df.sparkSession)}/mosaiq/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def save(df: DataFrame, path: str, overwrite: bool = False, by: list[str] | None = None) -> None:

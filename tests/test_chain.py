@@ -149,3 +149,22 @@ def test_key_in_output_is_found(spark):
     found = rows.select(auth.mentions_key(F.col("value"), auth.DEMONSTRATION).alias("m"))
     assert [r["m"] for r in found.collect()] == [False, True, False]
     assert key not in found._jdf.queryExecution().toString()
+
+
+def test_nested_skips_inner_folds_of_one_source_and_joins_no_sets(spark):
+    """Three sources: two remain for the outer fold and one for an inner one, which is skipped; the first parameters are taken."""
+    rows = adapters.seg_vectors(spark, SF).filter("source_id in ('SRC_0', 'SRC_1', 'SRC_2')")
+    selected, found = nested.evaluate(rows, catalog._keep(spark))
+    got = {tuple(r) for r in selected.collect()}
+    assert got == {(f"SRC_{i}", 0, 1.5, 0.0, 0.0) for i in range(3)}
+    assert {r["held_out"] for r in found.collect()} == {"SRC_0", "SRC_1", "SRC_2"}
+    plans = []
+    nested.evaluate(rows, lambda df: plans.append(df._jdf.queryExecution().toString()) or catalog._keep(spark)(df))
+    assert plans and not any("NestedLoop" in p or "Cartesian" in p for p in plans)
+
+
+def test_models_in_blocks_give_the_same_decisions(spark, monkeypatch):
+    rows = adapters.seg_vectors(spark, SF).filter("source_id < 'SRC_5'")
+    once = [sorted(tuple(r) for r in df.collect()) for df in nested.evaluate(rows, catalog._keep(spark), adaptive=True)]
+    monkeypatch.setattr(nested, "BLOCK_BYTES", 3 * 4 * 8 * 64)
+    assert once == [sorted(tuple(r) for r in df.collect()) for df in nested.evaluate(rows, catalog._keep(spark), adaptive=True)]
