@@ -5,11 +5,14 @@ read again as the next stage's docs. All but the last return the columns of docu
 
 Null ids and repeated ids are kept apart by their texts and judged by them; a repeat of a row that stays stays too. A null
 or empty text is rejected by the language stage; later stages would keep it, but for the line stage's rule below. Ties
-go to the smallest id. An empty table gives an empty result. Extra columns are carried up to the last stage.
+go to the smallest id. An empty table gives an empty result. Extra columns are carried up to the last stage whatever
+their names: where an operator adds columns of its own, all that it does not read are set aside under reserved names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,19 +26,27 @@ from mosaiq.llm.common import discard, materialize, read_table
 LEAST_MARGIN, LEAST_LIKENESS = 0.4, 0.62
 
 
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with every column but those used under a reserved name, and a function that gives all names back."""
+    names = {c: c if c in used else f"__carried_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(docs[c].alias(n) for c, n in names.items())), lambda df: df.select(*(df[n].alias(c) for c, n in names.items()))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and those that look like no family of the learned languages, go."""
     model = langid.train(docs)
     if model is None:  # no labels to learn from
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    known = langid.predict(docs, model, least_margin=LEAST_MARGIN, least_likeness=LEAST_LIKENESS).filter(F.col("lang_pred") != langid.UNDETERMINED)
-    return known.select(docs.columns)
+    aside, back = set_aside(docs, "text")
+    known = langid.predict(aside, model, least_margin=LEAST_MARGIN, least_likeness=LEAST_LIKENESS).filter(F.col("lang_pred") != langid.UNDETERMINED)
+    return back(known)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated line chunks go from the texts; a document of which nothing is left goes too. n_chars follows the text."""
-    left = line_chunks.dedup(docs).filter((F.col("lines_removed") == 0) | (F.trim("text") != ""))
-    return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    aside, back = set_aside(docs, "doc_id", "text")
+    left = back(line_chunks.dedup(aside).filter((F.col("lines_removed") == 0) | (F.trim("text") != "")))
+    return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
