@@ -51,6 +51,14 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pixel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 8 x 8 pixels in [0, 1] from the vectors: a label is a recording, nine vectors a segment."""
+    order = Window.partitionBy("label").orderBy("vec_id")
+    rows = table(spark, sf_dir, "embeddings").withColumn("rn", F.row_number().over(order) - 1)
+    pixels = F.transform("embedding", lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v.cast("double") + 1) / 2)))
+    return rows.select(F.col("label").alias("video_id"), F.floor(F.col("rn") / 9).cast("int").alias("segment_id"), (F.col("rn") % 9).cast("int").alias("frame_index"), F.lit(8).alias("height"), F.lit(8).alias("width"), pixels.alias("pixels"))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.col("turn") * 5_000_000 + (F.length("text") % 3) * 1000
     return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("segment_id"), start.alias("start_us"), (start + 5_000_000).alias("end_us"))
