@@ -37,9 +37,12 @@ def gate(queries: DataFrame, references: DataFrame, by: list[str], properties: d
     return queries.join(ref, by, "left").select(*queries.columns, reason.alias("reason"))
 
 
-def indexed(segments: DataFrame, by: list[str]) -> DataFrame:
-    """Places of the segments in their recording, from 0."""
-    return segments.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("segment_id")) - 1)
+def indexed(segments: DataFrame, by: list[str], label: str) -> DataFrame:
+    """Places of the segments in their recording, from 0. A repeated segment is an error: it would join with each copy of its counterpart."""
+    order = Window.partitionBy(*by).orderBy("segment_id")
+    told = F.concat(F.lit(f"{label} has duplicate segment ids: "), F.to_json(F.struct(*by, "segment_id")))
+    place = F.when(F.lag("segment_id").over(order) == F.col("segment_id"), F.raise_error(told).cast("int")).otherwise(F.row_number().over(order) - 1)
+    return segments.withColumn("place", place)
 
 
 def compare(reference: DataFrame, query: DataFrame, by: list[str], video: str, lengths: dict[str, int], tolerance_us: int = 1000) -> DataFrame:
@@ -47,10 +50,13 @@ def compare(reference: DataFrame, query: DataFrame, by: list[str], video: str, l
 
     Both sides have by, segment_id, start_us, end_us and <stream>_bits; the query has `video` too. Rows carry state,
     places, time deltas (query less reference), raw and normalized distances by stream and of both streams together,
-    the balanced score and the relative attribution. The two streams are the keys of lengths.
+    the balanced score and the relative attribution. The two streams are the keys of lengths. A segment that either side
+    repeats is an error.
     """
     first, second = lengths
-    side = lambda df, p, keys: indexed(df, keys).select(*keys, "segment_id", *(F.col(c).alias(f"{p}_{c}") for c in ("place", "start_us", "end_us")), *(V.words(F.col(f"{s}_bits")).alias(f"{p}_{s}") for s in lengths))
+    if tolerance_us < 0:
+        raise ValueError("the tolerance is not negative")
+    side = lambda df, p, keys: indexed(df, keys, {"ref": "reference"}.get(p, p)).select(*keys, "segment_id", *(F.col(c).alias(f"{p}_{c}") for c in ("place", "start_us", "end_us")), *(V.words(F.col(f"{s}_bits")).alias(f"{p}_{s}") for s in lengths))
     videos = query.select(*by, video).distinct()
     left = videos.join(side(reference, "ref", by), by)
     both = left.join(side(query, "query", [*by, video]), [*by, video, "segment_id"], "full")

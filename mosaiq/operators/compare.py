@@ -4,19 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mosaiq.functions import vectors as V
 
 
+def unique(rows: DataFrame, keys: list[str], label: str, column: str) -> DataFrame:
+    """rows, of which `column` is an error as soon as a key is repeated. The count is taken in the shuffle by keys that a join of these rows needs anyway."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    told = F.concat(F.lit(f"{label} has duplicate segment ids: "), F.to_json(F.struct(*keys)))
+    return rows.withColumn("_n", n).withColumn(column, F.when(F.col("_n") > 1, F.raise_error(told).cast(rows.schema[column].dataType)).otherwise(F.col(column))).drop("_n")
+
+
 def align(reference: DataFrame, query: DataFrame, keys: list[str], tolerance_us: int = 1000) -> DataFrame:
-    """Full outer alignment by key: matched, timestamp_mismatch, missing_in_query or extra_in_query."""
-    r = reference.select(*keys, F.col("start_us").alias("ref_start"), F.col("end_us").alias("ref_end"), F.lit(True).alias("in_ref"))
-    q = query.select(*keys, F.col("start_us").alias("query_start"), F.col("end_us").alias("query_end"), F.lit(True).alias("in_query"))
+    """Full outer alignment by key: matched, timestamp_mismatch, missing_in_query or extra_in_query. A repeated key on either side is an error."""
+    if tolerance_us < 0:
+        raise ValueError("the tolerance is not negative")
+    r = unique(reference.select(*keys, F.col("start_us").alias("ref_start"), F.col("end_us").alias("ref_end"), F.lit(True).alias("in_ref")), keys, "reference", "in_ref")
+    q = unique(query.select(*keys, F.col("start_us").alias("query_start"), F.col("end_us").alias("query_end"), F.lit(True).alias("in_query")), keys, "query", "in_query")
     near = (F.abs(F.col("ref_start") - F.col("query_start")) <= tolerance_us) & (F.abs(F.col("ref_end") - F.col("query_end")) <= tolerance_us)
     state = F.when(F.col("in_query").isNull(), "missing_in_query").when(F.col("in_ref").isNull(), "extra_in_query").when(near, "matched").otherwise("timestamp_mismatch")
     return r.join(q, keys, "full").select(*keys, "ref_start", "query_start", state.alias("state"))
 
 
+def complete_join(sides: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """The sides joined by key. A key that a side lacks or repeats is an error that names side and key: streams must cover the same segments."""
+    out = None
+    for label, df in sides.items():
+        marked = unique(df.withColumn(f"_in_{label}", F.lit(True)), keys, label, f"_in_{label}")
+        out = marked if out is None else out.join(marked, keys, "full")
+    lacking = F.lit(True)
+    for label in sides:
+        told = F.concat(F.lit(f"{label} lacks segments: "), F.to_json(F.struct(*keys)))
+        lacking = lacking & F.when(F.col(f"_in_{label}").isNull(), F.raise_error(told).cast("boolean")).otherwise(F.lit(True))
+    return out.filter(lacking).drop(*(f"_in_{label}" for label in sides))
+
+
 def alignment_summary(aligned: DataFrame, by: list[str]) -> DataFrame:
     """State counts; strict comparison needs every segment matched, partial comparison one."""
     states = ("matched", "missing_in_query", "extra_in_query", "timestamp_mismatch")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from mosaiq.functions import auth
 from mosaiq.functions import scalars as S
 from mosaiq.functions import vectors as V
-from mosaiq.operators import compare, evaluation, models, nested, order_stats, records, reports, segments, validation
+from mosaiq.operators import compare, evaluation, identity, models, nested, order_stats, records, reports, segments, validation
 from mosaiq.plans import oracle_parts as O
 from mosaiq.sources import adapters as A
 
@@ -315,10 +315,7 @@ def leakage_check(spark, d):
 def feature_stream_join(spark, d):
     rows = A.seg_vectors(spark, d)
     keys = ["video_id", "segment_id"]
-    left = rows.select(*keys, "resnet")
-    right = rows.select(*keys, "temporal")
-    third = rows.select(*keys, "spatial")
-    joined = left.join(right, keys).join(third, keys)
+    joined = compare.complete_join({s: rows.select(*keys, s) for s in models.STREAMS}, keys)
     return joined.select(*keys, V.is_finite(F.concat("resnet", "temporal", "spatial")).alias("has_all"), F.size(F.concat("resnet", "temporal", "spatial")).alias("dims"))
 
 
@@ -464,6 +461,17 @@ def phash_nested_loso(spark, d):
     return outer.select(F.col("outer_out").alias("held_out"), "video_id", "margin", r6("threshold").alias("threshold"), verdict.alias("observed"))
 
 
+_TREE = """rw AS (SELECT sha256('{"c_custkey":'||c_custkey||'}') AS k, sha256('{"c_custkey":'||c_custkey||',"c_mktsegment":"'||c_mktsegment||'","c_nationkey":'||c_nationkey||'}') AS d FROM customer),
+ l2 AS (SELECT k[1:4] AS node, count(*) AS n, sha256(string_agg(d, '' ORDER BY k, d)) AS d FROM rw GROUP BY 1), l1 AS (SELECT node[1:2] AS node, sum(n) AS n, sha256(string_agg(d, '' ORDER BY node)) AS d FROM l2 GROUP BY 1)"""
+
+
+@query("WITH " + _TREE + " SELECT 1::INT AS level, node, n::BIGINT AS rows, d AS digest FROM l1 UNION ALL SELECT 0, '', sum(n)::BIGINT, sha256(string_agg(d, '' ORDER BY node)) FROM l1")
+def table_tree(spark, d):
+    """The upper levels of a table's digest tree."""
+    rows = A.table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return identity.tree(rows, ["c_custkey"]).filter("level < 2")
+
+
 # --- turns -----------------------------------------------------------------------------------------------------------
 
 

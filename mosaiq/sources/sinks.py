@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.operators import identity
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which all executors share. Where none is set, a temporary folder, in local mode only."""
@@ -89,8 +91,8 @@ def work_list(inputs: DataFrame, manifest: DataFrame, key: str = "video_id") ->
 
 
 def checksum(df: DataFrame) -> DataFrame:
-    """One row: the number of rows and a sum of row hashes, equal for equal rows in any order and partitioning."""
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("checksum"))
+    """One row: the number of rows and a SHA-256 digest, equal for equal rows in any order and partitioning."""
+    return identity.table_identity(df).select("rows", F.col("digest").alias("checksum"))
 
 
 def manifest(artifacts: dict[str, DataFrame], source: str, parameters: dict, warnings: list[str] = []) -> DataFrame:
