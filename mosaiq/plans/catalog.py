@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from mosaiq.functions import auth
 from mosaiq.functions import scalars as S
 from mosaiq.functions import vectors as V
-from mosaiq.operators import compare, evaluation, identity, models, nested, order_stats, records, reports, segments, validation
+from mosaiq.operators import compare, evaluation, identity, models, nested, order_stats, records, reports, segments, stages, validation
 from mosaiq.plans import oracle_parts as O
 from mosaiq.sources import adapters as A
 
@@ -461,6 +461,23 @@ def phash_nested_loso(spark, d):
     return outer.select(F.col("outer_out").alias("held_out"), "video_id", "margin", r6("threshold").alias("threshold"), verdict.alias("observed"))
 
 
+_STATES = O.LOG + """,
+ vi AS (SELECT DISTINCT source_id||'/'||video_id AS video_id, source_id, video_id AS name FROM lg), re AS (SELECT *, name=min(name) OVER (PARTITION BY source_id) AS is_reference FROM vi),
+ gd AS (SELECT re.*, st.place, st.stage, lv.status FROM re, (VALUES (0,'R'),(1,'A'),(2,'N')) st(place, stage) LEFT JOIN (SELECT source_id||'/'||video_id AS video_id, stage, max_by(status, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax)) AS status FROM lg GROUP BY 1,2) lv ON lv.video_id=re.video_id AND lv.stage=st.stage),
+ mk AS (SELECT *, coalesce(bool_and(coalesce(status='completed',false)) OVER (PARTITION BY video_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS earlier, bool_or(coalesce(status='failed',false)) OVER (PARTITION BY video_id ORDER BY place) AS failed_so_far FROM gd),
+ rf AS (SELECT source_id, place, bool_and(coalesce(status='completed',false)) AS ref_done, bool_or(failed_so_far) AS ref_failed FROM mk WHERE is_reference GROUP BY 1,2)"""
+
+
+@query("WITH " + _STATES + " SELECT source_id, video_id, is_reference, stage, CASE WHEN status='completed' THEN 'completed' WHEN NOT is_reference AND coalesce(ref_failed, true) THEN 'blocked' WHEN NOT earlier OR (NOT is_reference AND NOT ref_done) THEN 'waiting' WHEN status='failed' THEN 'failed' ELSE 'ready' END AS state FROM mk LEFT JOIN rf USING (source_id, place)")
+def stage_states(spark, d):
+    """What each recording has done, may do next, waits for or is stopped from, by the log."""
+    log = _log(spark, d).withColumn("video_id", F.concat_ws("/", "source_id", "video_id"))
+    videos = log.select("source_id", "video_id").distinct()
+    first = videos.groupBy("source_id").agg(F.min("video_id").alias("first"))
+    videos = videos.join(first, "source_id").select("source_id", "video_id", (F.col("video_id") == F.col("first")).alias("is_reference"))
+    return stages.states(videos, log, ["R", "A", "N"])
+
+
 _TREE = """rw AS (SELECT sha256('{"c_custkey":'||c_custkey||'}') AS k, sha256('{"c_custkey":'||c_custkey||',"c_mktsegment":"'||c_mktsegment||'","c_nationkey":'||c_nationkey||'}') AS d FROM customer),
  l2 AS (SELECT k[1:4] AS node, count(*) AS n, sha256(string_agg(d, '' ORDER BY k, d)) AS d FROM rw GROUP BY 1), l1 AS (SELECT node[1:2] AS node, sum(n) AS n, sha256(string_agg(d, '' ORDER BY node)) AS d FROM l2 GROUP BY 1)"""
 
