@@ -7,7 +7,7 @@ rule of the vocabulary's decoder.
 
 A null text counts as empty and gives no ids. White-space-only text gives what the vocabulary gives. Texts of any
 length are handled whole; equal texts give equal rows; an empty table gives an empty result; only the id and text
-columns are read.
+columns are read. Ids are carried only: null and repeated ones keep their rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ bit-parallel distance decides. Whole texts are searched.
 Items are a stated query set: they are taken in blocks of at most `block_chars` characters, each sent to all
 executors, where a Python worker keeps its automaton. Every document is searched for every block, one pass a block side
 by side; `remove` filters in that pass if there is one block, else by the hashes of the texts that were hit. Null and empty items match nothing, null and empty texts
-have no match; equal items are separate items; repeated rows are searched alike; empty tables give empty results.
+have no match; equal items are separate items; repeated rows are searched alike; null document ids are carried and judged
+by their texts; empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -6,6 +6,9 @@ common hashes estimates containment between documents of any lengths. A text who
 threshold keeps its smallest hash, so that only a text without words has an empty sketch.
 
 Null and empty texts have empty sketches; two empty sketches are alike (1), an empty and another one are not (0).
+Repeated rows are kept, each with its own follower: rows of equal ids follow each other by their texts, then sketches.
+Null ids come first, as -2 ** 63, and are told from a real id of that value by nothing. Very long texts are shingled
+whole. An empty table gives an empty result; only the id and text columns are read, so no other name can clash.
 """
 
 from __future__ import annotations
