@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import io
 import json
+import re
 import subprocess
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from mosaiq.functions import scalars as S
@@ -29,17 +33,49 @@ RECORD = "schema_version string, video_id string, payload string, payload_sha256
 
 
 def files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """Files below root: path, folder, name, size, and the content's SHA-256 on request. Contents are read by executors."""
+    """Files below root: path, folder, name, size, and on request the content's SHA-256 with an error, which is null if it could be read. Spark's scan leaves out empty and hidden files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     parts = F.split("path", "/")
-    columns = ["path", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("filename"), F.col("length").alias("size")]
-    return found.select(*columns, F.sha2("content", 256).alias("sha256")) if content else found.select(*columns)
+    listed = found.select("path", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("filename"), F.col("length").alias("size"))
+    return hashed(listed) if content else listed
+
+
+def file_digest(path: str, size: int = 1 << 20) -> str:
+    """SHA-256 of a file of any length, read in pieces, from any file system that pyarrow opens by its URI."""
+    from pyarrow import fs
+
+    local = re.sub("^file:/+", "/", path)
+    system, inner = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(quote(path, safe=":/%@"))
+    digest = hashlib.sha256()
+    with system.open_input_stream(inner, buffer_size=0) as stream:
+        while piece := stream.read(size):
+            digest.update(piece)
+    return digest.hexdigest()
+
+
+def hashed(listed: DataFrame) -> DataFrame:
+    """Listed files with sha256 and error. Executors open the paths and hold one piece of a file at a time, so a file may be larger than a row can."""
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.iloc[[k]].copy()
+                try:
+                    row["sha256"], row["error"] = file_digest(row["path"].iloc[0]), None
+                except (OSError, ValueError) as e:
+                    row["sha256"], row["error"] = None, str(e)
+                yield row
+
+    shape = StructType([*listed.schema, *StructType.fromDDL("sha256 string, error string")])
+    return listed.repartition(parts, "path").mapInPandas(run, shape)
 
 
 def supported(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(videos, skipped): hidden files and other extensions are skipped."""
-    ok = ~F.col("filename").startswith(".") & F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1)).isin(*S.VIDEO_EXTENSIONS)
-    return found.filter(ok), found.filter(~ok)
+    """(videos, skipped with `reason`): hidden files and other extensions are skipped."""
+    known = F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1)).isin(*S.VIDEO_EXTENSIONS)
+    reason = F.when(F.col("filename").startswith("."), "hidden").when(~known, "unsupported extension")
+    return found.filter(reason.isNull()), found.withColumn("reason", reason).filter("reason is not null")
 
 
 def choose_references(videos: DataFrame) -> DataFrame:
