@@ -91,8 +91,8 @@ def work_list(inputs: DataFrame, manifest: DataFrame, key: str = "video_id") ->
 
 
 def checksum(df: DataFrame) -> DataFrame:
-    """One row: the number of rows and a SHA-256 digest, equal for equal rows in any order and partitioning."""
-    return identity.table_identity(df).select("rows", F.col("digest").alias("checksum"))
+    """One row: the number of rows and a SHA-256 digest, equal for equal rows in any order and partitioning; 0 for an empty table."""
+    return identity.table_identity(df).select("rows", F.when(F.col("rows") == 0, "0").otherwise(F.col("digest")).alias("checksum"))
 
 
 def manifest(artifacts: dict[str, DataFrame], source: str, parameters: dict, warnings: list[str] = []) -> DataFrame:
