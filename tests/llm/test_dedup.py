@@ -267,6 +267,20 @@ def test_near_copies_are_in_one_class(spark):
     assert len(near) > 10_000 and caught >= 0.95 * len(near)
 
 
+@pytest.mark.parametrize("part", [compact_windows.PART, 40])
+def test_passages_do_not_depend_on_partitions(spark, corpus, part):
+    """With and without hot groups; splitting them leaves the classes as they are."""
+    rng = np.random.default_rng(3)
+    base = [f"w{n}" for n in rng.integers(0, 5000, 80)]
+    copies = [(10**6 + i, " ".join([f"v{i}"] * (i % 7) + base[: 80 - i % 5] + ["end"])) for i in range(150)]
+    docs = corpus.select("doc_id", "text").unionByName(spark.createDataFrame(copies, "doc_id long, text string"))
+    runs = [sorted(map(tuple, compact_windows.find(docs.repartition(n), part=part).collect())) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2]
+    assert {r[0] for r in runs[0]} >= {d for d, _ in copies[1:]}
+    assert len({r[7:] for r in runs[0] if r[0] > 10**6}) == 1
+
+
+
 def test_line_chunks_equal_brute_force(corpus, texts):
     seen, want = set(), {}
     for k in sorted(texts):
