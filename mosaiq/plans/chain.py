@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mosaiq.functions import auth
 from mosaiq.functions import scalars as S
-from mosaiq.operators import chain, models, segments
+from mosaiq.operators import chain, models, segments, stream_records
 from mosaiq.plans import oracle_parts as O
-from mosaiq.plans.catalog import _SEGDEC_SQL, BITS, _digests, _distances, _loso, _pairs, _registry, _structural, query, r6
+from mosaiq.plans.catalog import _HMAC, _RECORDS, _SEGDEC_SQL, BITS, _digests, _distances, _loso, _pairs, _registry, _structural, query, r6
 from mosaiq.sources import adapters as A
 
 STREAMS = {k: BITS[k] for k in ("resnet", "temporal")}
@@ -195,3 +196,44 @@ def source_type_lists(spark, d):
 @query(_KV + ", o AS (SELECT source_id, sha256, count(*)-1 c, min(video_id) f FROM kv GROUP BY 1,2), r AS (SELECT sha256, count(*)-1 c FROM kv WHERE category='reference' GROUP BY 1) SELECT kv.source_id, video_id, o.c::BIGINT AS copies_in_source, o.f AS first_in_source, (CASE WHEN category='reference' THEN r.c ELSE 0 END)::BIGINT AS equal_references FROM kv JOIN o USING (source_id, sha256) LEFT JOIN r USING (sha256)")
 def byte_copies(spark, d):
     return chain.byte_copies(_kinds(spark, d))
+
+
+_STREAM_PAYLOAD = _RECORDS + """, sp AS (SELECT source_id, video_id, '{"bit_order":"big","continuous_dimensions":{"combined":64,"resnet":40,"spatial":12,"temporal":12},"development_only":false,"digest_lengths":{"hybrid":88,"resnet":40,"spatial":24,"temporal":24},"normalization_id":"'||source_id||'-n","pipeline_id":"streams","quantization_id":"'||source_id||'-q","schema_version":2,"segment_count":'||count(*)||',"segments":['||
+ string_agg('{"end_time_microseconds":'||(segment_id+1)*5000000::BIGINT||',"hybrid_packed_digest_hex":"'||h||'","resnet_packed_digest_hex":"'||substr(h,1,10)||'","segment_id":'||segment_id||',"spatial_packed_digest_hex":"'||substr(h,17,6)||'","start_time_microseconds":'||segment_id*5000000::BIGINT||',"temporal_packed_digest_hex":"'||substr(h,11,6)||'"}', ',' ORDER BY segment_id)||
+ '],"source_video_sha256":"'||sha256(video_id)||'","stream_boundaries":{"resnet":{"end_exclusive":40,"start":0},"spatial":{"end_exclusive":88,"start":64},"temporal":{"end_exclusive":64,"start":40}},"video_id":"'||video_id||'"}' AS payload FROM px GROUP BY 1,2)"""
+_STREAM_TOLD = f'"created_at":"2024-01-01T00:00:00+00:00","hmac_schema":"{stream_records.SCHEMA_TEXT}","key_fingerprint":"{auth.key_fingerprint(auth.demonstration_key())}","key_id":"demonstration","key_length_bytes":32,"key_source_type":"demonstration","record_schema_version":2'
+_STREAM_RECORD = _STREAM_PAYLOAD + """, sr AS (SELECT source_id, video_id, '{"authentication":{"algorithm":"HMAC-SHA-256","canonical_payload_sha256":"'||sha256(payload)||'",""" + _STREAM_TOLD + ""","tag_hex":"'||""" + _HMAC.format(p="payload") + """||'"},"payload":'||payload||'}' AS record FROM sp)"""
+
+
+@query(_STREAM_RECORD + " SELECT * FROM sr")
+def stream_record_texts(spark, d):
+    """Records of three streams, one JSON text a recording, with the public demonstration key and a fixed time."""
+    coded = _digests(spark, d).withColumn("start_s", F.col("segment_id") * 5.0).withColumn("end_s", F.col("segment_id") * 5.0 + 5.0)
+    streams = {s: f"{s}_bits" for s in ("resnet", "temporal", "spatial")}
+    made = stream_records.payloads(coded, streams, {"resnet": 40, "temporal": 12, "spatial": 12}, {"temporal": 2, "spatial": 2}, "streams", F.concat("source_id", F.lit("-n")), F.concat("source_id", F.lit("-q")), F.sha2("video_id", 256))
+    key = auth.demonstration_key()
+    return stream_records.build(made, "demonstration", auth.key_fingerprint(key), "demonstration", len(key), auth.DEMONSTRATION, created_at=F.lit("2024-01-01T00:00:00+00:00")).select("source_id", "video_id", "record")
+
+
+# What is changed in the records of a case, and the reason that the check must give.
+_STREAM_SPOIL = {
+    1: ('"development_only":false', '"development_only":true', "payload checksum mismatch; HMAC tag mismatch"),
+    2: ('"record_schema_version":2', '"record_schema_version":1', "schema mismatch"),
+    3: ('"algorithm":"HMAC-SHA-256"', '"algorithm":"none"', "unsupported algorithm; HMAC tag mismatch"),
+    4: ('"key_fingerprint":"', '"key_fingerprint":"0', "key fingerprint mismatch"),
+    5: ('"tag_hex":"', '"tag_hex":"z', "HMAC tag mismatch"),
+    6: ('"authentication":', '"other":', stream_records.NO_OBJECTS),
+}
+_STREAM_REASON = " ".join(f"WHEN {n} THEN '{r}'" for n, (_, _, r) in _STREAM_SPOIL.items())
+
+
+@query(_STREAM_RECORD + f""", k AS (SELECT source_id, video_id, (('0x'||substr(sha256(video_id),1,8))::BIGINT%7)::INT AS "case" FROM sr)
+ SELECT source_id, video_id, "case", "case" NOT IN (2,6) AS schema_valid, "case" NOT IN (3,6) AS algorithm_supported, "case" NOT IN (1,6) AS payload_checksum_valid, "case" NOT IN (4,6) AS key_fingerprint_match, "case" NOT IN (1,3,5,6) AS hmac_valid, "case"=0 AS record_valid, CASE "case" {_STREAM_REASON} END AS failure_reason FROM k""")
+def stream_record_checks(spark, d):
+    """Checks of three-stream records of which six of seven are changed in one place each."""
+    rows = stream_record_texts(spark, d).withColumn("case", (F.conv(F.substring(F.sha2("video_id", 256), 1, 8), 16, 10).cast("bigint") % 7).cast("int"))
+    changed = F.col("record")
+    for case, (old, new, _) in _STREAM_SPOIL.items():
+        changed = F.when(F.col("case") == case, F.replace("record", F.lit(old), F.lit(new))).otherwise(changed)
+    checked = stream_records.verify(rows.withColumn("record", changed), auth.key_fingerprint(auth.demonstration_key()), auth.DEMONSTRATION)
+    return checked.select("source_id", "video_id", "case", *stream_records.FLAGS, "record_valid", "failure_reason")
