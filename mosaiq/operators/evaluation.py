@@ -40,10 +40,39 @@ def attribution(structural: Column, resnet: Column, temporal: Column, balanced:
     return F.when(structural, "structural").when(resnet_over & temporal_over, "both_streams").when(resnet_over, "resnet_only").when(temporal_over, "temporal_only").when(balanced_over, by_balance).otherwise("none")
 
 
-def counts(rows: DataFrame, by: list[str], expected: str = "expected", observed: str = "observed") -> DataFrame:
-    """TP, TN, FP and FN; abnormal is positive. Rows with other labels do not count."""
-    cell = lambda e, o: F.count_if((F.col(expected) == e) & (F.col(observed) == o)).cast("bigint")
-    return rows.groupBy(*by).agg(cell("abnormal", "abnormal").alias("tp"), cell("normal", "normal").alias("tn"), cell("normal", "abnormal").alias("fp"), cell("abnormal", "normal").alias("fn"))
+LABELS = ("normal", "abnormal")
+
+
+def known_labels(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows, whose labels must be normal or abnormal: any other, null too, is an error that names it."""
+    told = {c: F.when(F.col(c).isin(*LABELS), F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"unknown label in {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("null")))).cast("string")) for c in columns}
+    return rows.withColumns(told)
+
+
+def _cells(expected: str, observed: str) -> list[Column]:
+    pairs = {"tp": ("abnormal", "abnormal"), "tn": ("normal", "normal"), "fp": ("normal", "abnormal"), "fn": ("abnormal", "normal")}
+    return [F.count_if((F.col(expected) == e) & (F.col(observed) == o)).cast("bigint").alias(n) for n, (e, o) in pairs.items()]
+
+
+def counts(rows: DataFrame, by: list[str], expected: str = "expected", observed: str = "observed", strict: bool = False) -> DataFrame:
+    """TP, TN, FP and FN; abnormal is positive. Rows with other labels do not count, or are an error with strict."""
+    rows = known_labels(rows, expected, observed) if strict else rows
+    return rows.groupBy(*by).agg(*_cells(expected, observed))
+
+
+def counts_with_failed(rows: DataFrame, by: list[str], expected: str = "expected", observed: str = "observed") -> DataFrame:
+    """counts with `evaluated`, their sum, and `failed`: rows of a known expected label without a known observed one. Failed rows are in no denominator."""
+    failed = F.col(expected).isin(*LABELS) & ~F.coalesce(F.col(observed).isin(*LABELS), F.lit(False))
+    told = rows.withColumn("_failed", F.coalesce(failed, F.lit(False)))
+    out = told.groupBy(*by).agg(*_cells(expected, observed), F.count_if("_failed").cast("bigint").alias("failed"))
+    return out.withColumn("evaluated", F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))
+
+
+def counts_by_label(rows: DataFrame, label: str, labels: list[str], expected: str = "expected", observed: str = "observed") -> DataFrame:
+    """counts_with_failed of each label of a given list, in which a label without rows stays, with zeros. Labels that are not listed are left out; one listed twice counts once."""
+    listed = rows.sparkSession.range(1).select(F.explode(F.lit(sorted(set(labels)))).alias(label))
+    found = counts_with_failed(rows.filter(F.col(label).isin(*labels)), [label], expected, observed)
+    return listed.join(found, label, "left").fillna(0, ["tp", "tn", "fp", "fn", "failed", "evaluated"])
 
 
 def metrics(table: DataFrame, zero: bool = False) -> DataFrame:

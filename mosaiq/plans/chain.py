@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions import auth
 from mosaiq.functions import scalars as S
-from mosaiq.operators import chain, models, segments, stream_records
+from mosaiq.operators import chain, evaluation, models, segments, stream_records
 from mosaiq.plans import oracle_parts as O
 from mosaiq.plans.catalog import _HMAC, _RECORDS, _SEGDEC_SQL, BITS, _digests, _distances, _loso, _pairs, _registry, _structural, query, r6
 from mosaiq.sources import adapters as A
@@ -237,3 +237,26 @@ def stream_record_checks(spark, d):
         changed = F.when(F.col("case") == case, F.replace("record", F.lit(old), F.lit(new))).otherwise(changed)
     checked = stream_records.verify(rows.withColumn("record", changed), auth.key_fingerprint(auth.demonstration_key()), auth.DEMONSTRATION)
     return checked.select("source_id", "video_id", "case", *stream_records.FLAGS, "record_valid", "failure_reason")
+
+
+# Texts below 300 characters are too short to judge here: their predictions failed.
+_JUDGED = "WITH " + O.PRED + """, jd AS (SELECT pd.* EXCLUDE (observed), CASE WHEN n_chars<300 THEN 'failed' ELSE observed END AS observed FROM pd JOIN documents ON doc_id=video_id)"""
+_CELLS = "count(*) FILTER (expected='abnormal' AND observed='abnormal') AS tp, count(*) FILTER (expected='normal' AND observed='normal') AS tn, count(*) FILTER (expected='normal' AND observed='abnormal') AS fp, count(*) FILTER (expected='abnormal' AND observed='normal') AS fn, count(*) FILTER (observed='failed') AS failed"
+
+
+def _judged(spark, d):
+    sizes = A.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), "n_chars")
+    return A.predictions(spark, d).join(sizes, "video_id").withColumn("observed", F.when(F.col("n_chars") < 300, "failed").otherwise(F.col("observed")))
+
+
+@query(_JUDGED + f", cn AS (SELECT source_id, {_CELLS} FROM jd GROUP BY 1), mt AS (" + O.metrics("cn", "source_id", True) + ") SELECT source_id, mt.tp, mt.tn, mt.fp, mt.fn, cn.failed, cn.tp+cn.tn+cn.fp+cn.fn AS evaluated, " + ", ".join(f"round({m}::DOUBLE,6) AS {m}" for m in O.METRIC_NAMES) + " FROM mt JOIN cn USING (source_id)")
+def metrics_with_failed(spark, d):
+    """Metrics of each source in which failed predictions are counted and in no denominator."""
+    found = evaluation.metrics(evaluation.counts_with_failed(_judged(spark, d), ["source_id"]), zero=True)
+    return found.select("source_id", "tp", "tn", "fp", "fn", "failed", "evaluated", *(r6(m).alias(m) for m in O.METRIC_NAMES))
+
+
+@query(_JUDGED + f", l AS (SELECT unnest(['de','en','fr','zz']) AS transformation), cn AS (SELECT transformation, {_CELLS} FROM jd GROUP BY 1) SELECT transformation, " + ", ".join(f"coalesce({c},0)::BIGINT AS {c}" for c in ("tp", "tn", "fp", "fn", "failed")) + ", coalesce(tp+tn+fp+fn,0)::BIGINT AS evaluated FROM l LEFT JOIN cn USING (transformation)")
+def listed_label_counts(spark, d):
+    """Counts of each label of a list, one of which no row has."""
+    return evaluation.counts_by_label(_judged(spark, d), "transformation", ["en", "fr", "de", "zz"]).select("transformation", "tp", "tn", "fp", "fn", "failed", "evaluated")
