@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import dataclasses
 import hashlib
-import io
 import json
 import re
 import subprocess
@@ -13,6 +12,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -179,16 +179,23 @@ def dataset_validation(spark: SparkSession, path: str) -> DataFrame:
 
 
 def npz(spark: SparkSession, path: str) -> DataFrame:
-    """Arrays of NPZ files, one row a file and array: dtype, shape and little-endian values; no pickled objects."""
+    """Arrays of NPZ files, one row a file and array: dtype, shape and values as doubles (null for text); no pickled objects. A worker holds one file and one array at a time; values pass as Arrow buffers."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    shape = pa.schema([("path", pa.string()), ("name", pa.string()), ("dtype", pa.string()), ("shape", pa.list_(pa.int64())), ("values", pa.list_(pa.float64()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def row(path: str, name: str, v: np.ndarray) -> pa.RecordBatch:
+        flat = v.ravel().astype(np.float64) if v.dtype.kind in "biuf" else None
+        values = pa.nulls(1, pa.list_(pa.float64())) if flat is None else pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))
+        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([str(v.dtype)]), pa.array([list(v.shape)], pa.list_(pa.int64())), values], schema=shape)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, content in zip(batch["path"], batch["content"]):
-                with np.load(io.BytesIO(content), allow_pickle=False) as arrays:
-                    yield pd.DataFrame([(p, k, str(v.dtype), [int(x) for x in v.shape], [float(x) for x in v.ravel()] if v.dtype.kind in "biuf" else None) for k, v in arrays.items()], columns=["path", "name", "dtype", "shape", "values"])
+            for p, content in zip(batch.column("path"), batch.column("content")):
+                with np.load(pa.BufferReader(content.as_buffer()), allow_pickle=False) as arrays:
+                    for name in arrays.files:
+                        yield row(p.as_py(), name, arrays[name])
 
-    return found.mapInPandas(run, "path string, name string, dtype string, shape array<long>, values array<double>")
+    return found.mapInArrow(run, "path string, name string, dtype string, shape array<long>, values array<double>")
 
 
 def csv_text(spark: SparkSession, path: str) -> DataFrame:
