@@ -13,6 +13,7 @@ from urllib.parse import quote
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -40,12 +41,15 @@ def files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     return hashed(listed) if content else listed
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system that pyarrow opens for a path or URI, and the path in it."""
+    local = re.sub("^file:/+", "/", path)
+    return (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(quote(path, safe=":/%@"))
+
+
 def file_digest(path: str, size: int = 1 << 20) -> str:
     """SHA-256 of a file of any length, read in pieces, from any file system that pyarrow opens by its URI."""
-    from pyarrow import fs
-
-    local = re.sub("^file:/+", "/", path)
-    system, inner = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(quote(path, safe=":/%@"))
+    system, inner = file_system(path)
     digest = hashlib.sha256()
     with system.open_input_stream(inner, buffer_size=0) as stream:
         while piece := stream.read(size):
