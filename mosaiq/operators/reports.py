@@ -63,7 +63,7 @@ def with_fold_threshold(scores: DataFrame, limits: DataFrame, group: str = "sour
 
 
 def point_size(pixels: Column) -> Column:
-    return F.least(F.lit(300.0), F.greatest(F.lit(30.0), pixels / 10_000))
+    return F.least(F.lit(300.0), F.greatest(F.lit(30.0), pixels / 5000))
 
 
 def comparison_methods(rows: DataFrame, methods: tuple[str, str]) -> DataFrame:

@@ -875,7 +875,7 @@ def rate_pivot(spark, d):
     return p.groupBy("source_id", "transformation").agg(r6(F.avg("rate")).alias("rate"))
 
 
-@query("WITH " + O.REG + ", " + O.HITS + " SELECT video_id, coalesce(nullif(list_position(['trusted_reference','avi_conversion','mov_conversion','resize_480p','resize_720p','blur','frame_deletion','frame_insertion','frame_replacement'], t2), 0)-1, 99)::INT AS place, least(300.0::DOUBLE, greatest(30.0::DOUBLE, coalesce(width,0)*height/10000.0::DOUBLE)) AS point_size FROM cl")
+@query("WITH " + O.REG + ", " + O.HITS + " SELECT video_id, coalesce(nullif(list_position(['trusted_reference','avi_conversion','mov_conversion','resize_480p','resize_720p','blur','frame_deletion','frame_insertion','frame_replacement'], t2), 0)-1, 99)::INT AS place, least(300.0::DOUBLE, greatest(30.0::DOUBLE, coalesce(width,0)*height/5000.0::DOUBLE)) AS point_size FROM cl")
 def transformation_order(spark, d):
     pixels = F.coalesce("width", F.lit(0)) * F.col("height")
     return _registry(spark, d).select("video_id", S.transformation_order(F.col("t2")).alias("place"), reports.point_size(pixels).alias("point_size"))
