@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from mosaiq.operators import report_tables
 from mosaiq.plans import oracle_parts as O
-from mosaiq.plans.catalog import query, r6
+from mosaiq.plans.catalog import _BENIGN, _BOOT, _LOSO_SQL, _SEQ, _STREAM_SQL, _boot, _distances, _keep, _loso, _registry, _rounded, query, r6
 from mosaiq.sources import adapters as A
 from mosaiq.sources import arrays, sinks
 
@@ -28,3 +29,67 @@ def array_files(spark, d):
     elements = blocks.select("file", "name", "dtype", "shape", "first", F.posexplode("values").alias("k", "v"))
     found = elements.groupBy("file", "name", "dtype").agg(F.get(F.first("shape"), F.lit(0)).alias("length"), F.count(F.lit(1)).alias("elements"), r6(F.sum("v")).alias("total"), r6(F.sum(F.col("v") * ((F.col("first") + F.col("k")) % 97))).alias("weighted"))
     return found
+
+
+_STREAMS = {"resnet": "dr", "temporal": "dt", "balanced": "bal"}
+_COLUMNS = {"resnet": "resnet_distance", "temporal": "temporal_distance", "balanced": "balanced"}
+
+
+@query("WITH " + _LOSO_SQL + " SELECT held_out, " + ", ".join(f"round(max(threshold) FILTER (stream='{s}'),6) AS {s}_threshold" for s in _STREAMS) + " FROM th GROUP BY 1")
+def fold_threshold_table(spark, d):
+    return _rounded(report_tables.thresholds_by_fold(_loso(spark, d)[1], list(_STREAMS)))
+
+
+@query("WITH " + _LOSO_SQL + ", mv AS (SELECT source_id, video_id, transformation, count(*)::BIGINT AS segments, " + ", ".join(f"max({c}) AS max_{s}, avg({c}) AS mean_{s}" for s, c in _STREAMS.items()) + " FROM dd GROUP BY 1,2,3), tw AS (SELECT held_out, " + ", ".join(f"max(threshold) FILTER (stream='{s}') AS t_{s}" for s in _STREAMS) + " FROM th GROUP BY 1) SELECT source_id, video_id, transformation, segments, " + ", ".join(f"round(max_{s},6) AS max_{s}, round(mean_{s},6) AS mean_{s}, round(t_{s},6) AS {s}_threshold, coalesce(max_{s}>t_{s}, false) AS {s}_exceeds" for s in _STREAMS) + " FROM mv LEFT JOIN tw ON tw.held_out=mv.source_id")
+def stream_scores_with_thresholds(spark, d):
+    """Largest and mean distances of each recording by stream beside its fold's thresholds; the blur rows are those of one transformation."""
+    rows, limits = _loso(spark, d)
+    return _rounded(report_tables.scores_with_thresholds(rows, limits, _COLUMNS, ["source_id", "video_id", "transformation"]))
+
+
+@query("WITH " + O.PRED + " SELECT transformation, expected, count(*)::BIGINT AS evaluated, 0::BIGINT AS failed, CASE WHEN expected='abnormal' THEN round(count(*) FILTER (observed='abnormal')/count(*)::DOUBLE,6) END AS detection_rate, CASE WHEN expected='normal' THEN round(count(*) FILTER (observed='abnormal')/count(*)::DOUBLE,6) END AS false_rejection_rate FROM pd GROUP BY 1,2")
+def transformation_rates(spark, d):
+    return _rounded(report_tables.rates_by_transformation(A.predictions(spark, d)))
+
+
+_GRID = ", vs AS (SELECT DISTINCT o_orderpriority AS video_id FROM orders UNION SELECT DISTINCT o_orderpriority||' (spare)' FROM orders)"
+
+
+@query("WITH " + O.LOG + _GRID + f", k AS (SELECT *, row_number() OVER (PARTITION BY video_id, stage ORDER BY {', '.join(c + ' DESC' for c in _SEQ.split(', '))}) rn FROM lg WHERE source_id='F') SELECT vs.video_id, " + ", ".join(f"coalesce(max(CASE status WHEN 'completed' THEN 'OK' ELSE 'FAIL' END) FILTER (stage='{s}'),'NA') AS \"{s}\"" for s in "ANRX") + " FROM vs LEFT JOIN k ON k.video_id=vs.video_id AND rn=1 GROUP BY 1")
+def completion_grid(spark, d):
+    """Recordings and stages that never ran are NA: half of the recordings have no log row, and stage X has none at all."""
+    known = A.table(spark, d, "orders").select(F.col("o_orderpriority").alias("video_id")).distinct()
+    videos = known.unionByName(known.select(F.concat("video_id", F.lit(" (spare)")).alias("video_id")))
+    return report_tables.completion(A.runtime_log(spark, d).filter("source_id = 'F'"), videos, list("ANRX"))
+
+
+@query("WITH " + O.REG + ", " + O.HITS + ", sc AS (SELECT doc_id AS video_id, CASE WHEN doc_id%5<>0 THEN (n_chars%1000)/1000.0::DOUBLE END AS score FROM documents WHERE doc_id%3<>0), iv AS (SELECT *, CASE WHEN t1='ambiguous' OR t1='unsupported_video' THEN 'unknown' WHEN t1 IN ('frame_deletion','frame_insertion','frame_replacement') THEN 'tampered' ELSE 'benign' END AS category FROM cl) SELECT video_id, category, round(size*8/1e6,6) AS mbps, round(coalesce(score,0),6) AS score, round(least(300.0::DOUBLE, greatest(30.0::DOUBLE, coalesce(width,0)*height/5000.0::DOUBLE)),6) AS point_size FROM iv JOIN sc USING (video_id) WHERE category='benign'")
+def rate_score_points(spark, d):
+    kind = F.when(F.col("t1").isin("ambiguous", "unsupported_video"), "unknown").when(F.col("t1").isin("frame_deletion", "frame_insertion", "frame_replacement"), "tampered").otherwise("benign")
+    inventory = _registry(spark, d).withColumn("category", kind).withColumn("bit_rate", F.col("size") * 8)
+    scores = A.table(spark, d, "documents").filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("video_id"), F.when(F.col("doc_id") % 5 != 0, F.col("n_chars") % 1000 / 1000.0).alias("max_score"))
+    return _rounded(report_tables.rates_and_scores(inventory, scores, "max_score"))
+
+
+@query("WITH " + O.DIST + _STREAM_SQL + f", b AS (SELECT * FROM u WHERE {_BENIGN})" + """, fo AS (SELECT h.source_id AS g, h.video_no AS left_out, b.stream, b.val, b.res FROM (SELECT DISTINCT source_id, video_no FROM b) h JOIN b ON b.source_id=h.source_id AND b.video_no<>h.video_no),
+ md AS (SELECT g, left_out, stream, median(val) md FROM fo GROUP BY 1,2,3), th AS (SELECT g, left_out, stream, least(1,greatest(0,max(val)+greatest(3*median(abs(val-md)),max(res)))) t FROM fo JOIN md USING (g, left_out, stream) GROUP BY 1,2,3),
+ sg AS (SELECT source_id, video_no, segment_id, bool_or(val>t) AS ov FROM b JOIN th ON th.g=b.source_id AND th.left_out=b.video_no AND th.stream=b.stream GROUP BY 1,2,3)
+ SELECT source_id, video_no, count(*)::BIGINT AS tested_segments, bool_or(ov) AS would_be_marked_abnormal, coalesce(string_agg(segment_id::VARCHAR, ',' ORDER BY segment_id) FILTER (ov),'') AS abnormal_segments FROM sg GROUP BY 1,2""")
+def benign_stability(spark, d):
+    """Each benign recording judged by thresholds from the other benign recordings of its source."""
+    rows = _keep(spark)(_distances(spark, d).filter(_BENIGN))
+    streams = {"resnet": ("resnet_distance", 1 / 40), "temporal": ("temporal_distance", 1 / 24), "balanced": ("balanced", 0.5 / 40 + 0.5 / 24)}
+    found = report_tables.stability(rows, streams, ["source_id"], "video_no")
+    return found.withColumn("abnormal_segments", F.array_join(F.col("abnormal_segments").cast("array<string>"), ","))
+
+
+_PARTS = ("point_estimate", "ci_lower", "ci_upper", "fold_mean", "fold_sd")
+
+
+@query(_BOOT + ", pc AS (" + O.counts("") + "), pm AS (" + O.metrics("pc", "") + "), pl AS (" + O.long_metrics("(SELECT 1 AS one, * FROM pm)", "one") + "), fc AS (" + O.counts("source_id") + "), fm AS (" + O.metrics("fc", "source_id") + "), fl AS (" + O.long_metrics("fm", "source_id") + """), fv AS (SELECT metric, avg(value) AS fold_mean, stddev_samp(value) AS fold_sd FROM fl GROUP BY 1),
+ al AS (SELECT metric, round(pl.value::DOUBLE,6) AS point_estimate, low AS ci_lower, high AS ci_upper, round(fold_mean,6) AS fold_mean, round(fold_sd,6) AS fold_sd FROM pl LEFT JOIN ci USING (metric) LEFT JOIN fv USING (metric))
+ SELECT 'balanced' AS method, any_value(tp)::BIGINT AS tp, any_value(tn)::BIGINT AS tn, any_value(fp)::BIGINT AS fp, any_value(fn)::BIGINT AS fn, any_value(tp+tn+fp+fn)::BIGINT AS total, """ + ", ".join(f"max({p}) FILTER (metric='{m}') AS {m}_{p}" for m in O.METRIC_NAMES for p in _PARTS) + " FROM pc, al")
+def primary_table(spark, d):
+    """Point estimates, bootstrap intervals and spread over folds in one row a method."""
+    rows = A.predictions(spark, d).withColumn("method", F.lit("balanced"))
+    return _rounded(report_tables.primary_table(rows, _boot(spark, d).withColumn("method", F.lit("balanced"))))
