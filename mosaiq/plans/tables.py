@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from mosaiq.operators import report_tables
+from mosaiq.operators import registry, report_tables
 from mosaiq.plans import oracle_parts as O
 from mosaiq.plans.catalog import _BENIGN, _BOOT, _LOSO_SQL, _SEQ, _STREAM_SQL, _boot, _distances, _keep, _loso, _registry, _rounded, query, r6
 from mosaiq.sources import adapters as A
-from mosaiq.sources import arrays, sinks
+from mosaiq.sources import arrays, readers, sinks
 
 _PLACED = "WITH " + O.SV + ", pl AS (SELECT source_id||'.npz' AS file, segment_id, video_no, embedding, row_number() OVER (PARTITION BY source_id ORDER BY video_id, segment_id)-1 AS place FROM sv)"
 
@@ -93,3 +93,36 @@ def primary_table(spark, d):
     """Point estimates, bootstrap intervals and spread over folds in one row a method."""
     rows = A.predictions(spark, d).withColumn("method", F.lit("balanced"))
     return _rounded(report_tables.primary_table(rows, _boot(spark, d).withColumn("method", F.lit("balanced"))))
+
+
+# Folders of nine recordings; names by rule, so that about one folder in five has no reference.
+_FOLDERS = "rg AS (SELECT 'take '||(doc_id//9) AS folder, doc_id, ['original.mp4','take_avi.avi','take.mov','clip_480p.mp4','clip_720.mp4','blurred.mp4','frame_del_x.mp4','insert-1.mp4','swap.mp4','blur_480.mp4','other.mkv'][(doc_id%11)::INT+1] AS filename, sha256(text) AS sha256, strlen(text)::BIGINT AS size, CASE WHEN doc_id%7<>0 THEN (320+(doc_id%13)*100)::INT END AS width FROM documents)"
+_BUILT = "WITH " + _FOLDERS + ", " + O.HITS + f""", ra AS (SELECT cl.*, CASE WHEN filename='original.mp4' THEN 'trusted_reference' ELSE t1 END AS tr, count(*) FILTER (filename='original.mp4') OVER (PARTITION BY folder) AS refs FROM cl),
+ rb AS (SELECT *, row_number() OVER (PARTITION BY folder, tr ORDER BY lower(filename), filename) AS n, upper(replace(folder,' ','_')) AS px FROM ra),
+ bt AS (SELECT *, 'SRC_'||px AS source_id, px||'_'||CASE tr {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in registry.ENDINGS.items())} ELSE upper(stem) END||CASE WHEN n>1 THEN '_'||n ELSE '' END AS video_id, CASE WHEN refs=1 THEN px||'_ORIGINAL' END AS reference_video_id, CASE WHEN refs=1 THEN 'original.mp4' END AS reference_filename, CASE WHEN refs=1 THEN 'valid' ELSE 'blocked' END AS status,
+ CASE WHEN tr='trusted_reference' THEN 'reference' WHEN tr='ambiguous' THEN 'ambiguous' WHEN tr='unsupported_video' THEN 'unsupported' WHEN tr IN ('avi_conversion','mov_conversion','resize_480p','resize_720p') THEN 'benign' ELSE 'tampered' END AS category FROM rb)"""
+
+
+def _built(spark, d):
+    docs = A.table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 9).alias("folder_no"))
+    files = A.registry(spark, d).withColumnRenamed("video_id", "doc_id").select("doc_id", "filename", "sha256", "size", "width")
+    videos = files.join(docs, "doc_id").select(F.concat(F.lit("take "), F.col("folder_no").cast("string")).alias("folder"), "doc_id", "filename", "sha256", "size", "width")
+    return registry.build(videos, readers.choose_references(videos))
+
+
+@query(_BUILT + f""" SELECT doc_id, source_id, video_id, reference_video_id, reference_filename, status, tr AS transformation, category, CASE category WHEN 'tampered' THEN 'abnormal' WHEN 'ambiguous' THEN 'unknown' WHEN 'unsupported' THEN 'unknown' ELSE 'normal' END AS expected, CASE category WHEN 'reference' THEN 1.0::DOUBLE WHEN 'ambiguous' THEN 0.2 WHEN 'unsupported' THEN 0.1 ELSE 0.95 END AS confidence,
+ concat_ws('; ', CASE WHEN status='blocked' THEN '{registry.NO_REFERENCE}' END, CASE category WHEN 'ambiguous' THEN '{registry.AMBIGUOUS}' WHEN 'unsupported' THEN '{registry.UNSUPPORTED}' END) AS notes FROM bt""")
+def built_registry(spark, d):
+    """Folders of files to recordings with ids, references, kinds and notes."""
+    return _built(spark, d).select("doc_id", "source_id", "video_id", "reference_video_id", "reference_filename", "status", "transformation", "category", "expected", "confidence", F.array_join("notes", "; ").alias("notes"))
+
+
+@query(_BUILT + " SELECT b.source_id, b.video_id, b.size, r.size AS reference_size, b.size-r.size AS size_delta, b.width, r.width AS reference_width, b.width-r.width AS width_delta, b.filename, r.filename AS file_of_reference, b.category FROM bt b LEFT JOIN bt r ON r.source_id=b.source_id AND r.category='reference'")
+def registry_metadata_comparison(spark, d):
+    found = registry.metadata_comparison(_built(spark, d), ["size", "width"], ["filename"], ["category"])
+    return found.withColumnRenamed("reference_filename", "file_of_reference")
+
+
+@query(_BUILT + f" SELECT b.source_id, b.video_id, b.sha256, coalesce(r.sha256,'') AS original_sha256, r.sha256 IS NOT NULL AND r.sha256=b.sha256 AS matches_original, CASE WHEN r.sha256=b.sha256 THEN '{registry.IDENTICAL}' ELSE '{registry.CHANGED}' END AS interpretation FROM bt b LEFT JOIN bt r ON r.source_id=b.source_id AND r.category='reference'")
+def registry_byte_baseline(spark, d):
+    return registry.byte_baseline(_built(spark, d))
