@@ -1,9 +1,9 @@
 """The registry of recordings, from listed files to ids, references and the comparison of each recording with its reference.
 
 A folder is a source. Files of one folder that get the same transformation are numbered in the order of their lower-case names,
-then of the names themselves. Rows of a null folder form one source, named as an
-empty name is, without a reference; a file listed twice is two recordings.
-An empty list gives an empty registry.
+then of the names themselves. Rows of a null folder form one source, named as an empty name is, without a reference; a file
+listed twice is two recordings. Ids are unique but where names that are told apart only by other characters than letters and
+digits meet, or an unrecognized file is called like a known ending: `validation` finds those. An empty list gives an empty registry.
 """
 
 from __future__ import annotations

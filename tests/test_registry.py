@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from mosaiq.operators import registry
 from mosaiq.sources import readers
 
-FILES = [("My clip!", f) for f in ("Original.mp4", "a_blur.mp4", "B_blur.mp4", "x.avi", "odd.mkv", "blur_480p.mp4", "other.webm")] + [("two", "original.mov"), ("two", "original.avi"), ("two", "x.mov"), ("named", "NAMED.mp4"), ("named", "original.mp4"), (None, "x.avi")]
+FILES = [("My clip!", f) for f in ("Original.mp4", "a_blur.mp4", "B_blur.mp4", "x.avi", "odd.mkv", "blur_480p.mp4", "other.webm")] + [("two", "original.mov"), ("two", "original.avi"), ("two", "x.mov"), ("named", "NAMED.mp4"), ("named", "take.mp4"), (None, "x.avi")]
 
 
 @pytest.fixture
@@ -28,7 +28,7 @@ def test_ids_references_and_notes(built):
     assert (clip["Original.mp4"]["category"], clip["Original.mp4"]["confidence"], clip["Original.mp4"]["notes"]) == ("reference", 1.0, [])
     two = [r for (d, _), r in got.items() if d == "two"]
     assert {(r["status"], r["reference_video_id"]) for r in two} == {("blocked", None)} and all(r["notes"][0] == registry.NO_REFERENCE for r in two)
-    assert got["named", "NAMED.mp4"]["category"] == "reference" and got["named", "original.mp4"]["category"] == "unsupported"
+    assert got["named", "NAMED.mp4"]["category"] == "reference" and got["named", "take.mp4"]["category"] == "unsupported"
     assert got[None, "x.avi"]["video_id"] == "VIDEO_AVI" and got[None, "x.avi"]["category"] == "benign"
 
 
