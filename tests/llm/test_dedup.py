@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from mosaiq.llm import chosen_path, compact_windows, components, line_chunks, suffix_dedup
@@ -287,7 +288,7 @@ def test_line_chunks_equal_brute_force(corpus, texts):
         t, start, drop = texts[k], 0, set()
         lines = (t or "").split("\n")
         if t and "\n" in t:
-            for end in line_chunks.cuts(lines):
+            for end in _plain_ends(lines):
                 chunk = "\n".join(lines[start:end])
                 if end - start >= 2:
                     if chunk in seen:
@@ -300,6 +301,36 @@ def test_line_chunks_equal_brute_force(corpus, texts):
     assert got[12][1] > 0
 
 
+def _plain_ends(lines):
+    """Chunk ends spelled out with Python integers: a chunk ends after a line whose mixed hash with its predecessor's is divisible by 3, has two lines at least and 32 at most."""
+    mask = 2**64 - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    hashed = [xxhash.xxh3_64_intdigest(x) for x in lines]
+    ends, size = [], 0
+    for i in range(len(lines)):
+        rolled = hashed[0] if i == 0 else mix((hashed[i] * 0x100000001B3 & mask) ^ hashed[i - 1])
+        size += 1
+        last = i + 1 == len(lines)
+        if (mix(rolled) % 3 == 0 and size >= 2) or (size == 32 and not last) or last:
+            ends.append(i + 1)
+            size = 0
+    return ends
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_line_bounds_equal_plain_arithmetic(seed):
+    r = random.Random(seed)
+    lines = [r.choice(["", "same", f"line {r.randrange(40)}"]) for _ in range(r.randrange(1, 2000))]
+    flat = ["x"] * (100 if seed % 2 else 1)
+    assert line_chunks.cuts(lines) == _plain_ends(lines)
+    assert line_chunks.cuts(flat) == _plain_ends(flat)
+
+
 def test_line_bounds_resist_shifts():
     lines = [" ".join(words(i, 6)) for i in range(200)]
     a, b = set(line_chunks.cuts(lines)), {x - 1 for x in line_chunks.cuts(["new line", *lines])}

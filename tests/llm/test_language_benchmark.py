@@ -1,4 +1,5 @@
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -26,6 +27,24 @@ def test_languages(spark):
     assert model.families == ("germanic", "romance")
 
 
+def test_held_out_languages_of_documents(spark):
+    """Whole table: the held-out rows are as the contract says, and their labels, if spoiled, change no prediction."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    spoiled = docs.withColumn("lang", F.when(langid.held_out(), "zz").otherwise(F.col("lang")))
+    outcomes = []
+    for table in (docs, spoiled):
+        model = langid.train(table, learn=~langid.held_out())
+        rows = langid.predict(table.select("doc_id", "text", langid.held_out().alias("held")), model).collect()
+        outcomes.append({r["doc_id"]: (r["held"], r["lang_pred"], r["score"]) for r in rows})
+    assert outcomes[0] == outcomes[1]
+    truth = {r["doc_id"]: r for r in docs.collect()}
+    got = outcomes[0]
+    assert set(got) == set(truth) and all(held == (zlib.crc32(str(k).encode()) % 4 == 2) for k, (held, *_) in got.items())
+    judged = [k for k, (held, *_) in got.items() if held and truth[k]["lang"] and truth[k]["text"]]
+    assert len(judged) > 200 and sum(got[k][1] == truth[k]["lang"] for k in judged) / len(judged) > 0.97
+    assert {lang for _, lang, _ in got.values()} <= {r["lang"] for r in truth.values()} | {"und"}
+
+
 def test_language_edges(spark, empty, corpus, clashing):
     assert langid.train(empty) is None
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !!"), (4, "x"), (None, "abc abc")], "doc_id long, text string")

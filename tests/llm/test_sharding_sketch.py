@@ -1,8 +1,10 @@
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
 import pytest
+import xxhash
 
 from mosaiq.llm import sharding, sketch
 
@@ -87,3 +89,37 @@ def test_sketch_edges(spark, empty, clashing):
     assert sketch.fingerprints(clashing).count() == clashing.count()
     nulls = spark.createDataFrame([(None, "a b c d e f"), (None, None), (3, "a b c d e f")], "doc_id long, text string")
     assert sketch.fingerprints(nulls).count() == 3
+
+
+def _plain_sketch(text):
+    """The sketch spelled out: hashes of words, chained over five words, 63 bits, those below an eighth of the range or else the least."""
+    parts = [w for w in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()) if w]
+    hashed = [xxhash.xxh64_intdigest(w, seed=42) for w in parts]
+    every = set()
+    for i in range(max(1, len(hashed) - 4)) if hashed else ():
+        seed = 42
+        for h in hashed[i : i + 5]:
+            seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed=seed)
+        every.add(seed >> 1)
+    low = {h for h in every if h < 2**63 // 8}
+    return low or ({min(every)} if every else set())
+
+
+def _plain_likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("table", ["corpus", "documents"])
+def test_fingerprints_equal_an_exact_reference(spark, corpus, table):
+    df = corpus if table == "corpus" else spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in df.select("doc_id", "text").collect()}
+    rows = {r["doc_id"]: r for r in sketch.fingerprints(df).collect()}
+    assert set(rows) == set(texts)
+    keys = sorted(texts)
+    text_of = lambda s: "".join(f"{h:016X}" for h in sorted(s))
+    for k, following in zip(keys, keys[1:] + keys[:1]):
+        t, nxt, r = texts[k], texts[following], rows[k]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        a, b, c = map(_plain_sketch, (t, edited, nxt))
+        assert (r["fingerprint"], r["edited_fingerprint"], r["edited_sha256"]) == (text_of(a), text_of(b), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["near_edited"], r["near_next"]) == (pytest.approx(_plain_likeness(a, b)), pytest.approx(_plain_likeness(a, c)))
