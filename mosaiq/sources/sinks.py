@@ -64,7 +64,7 @@ def flat(df: DataFrame) -> DataFrame:
 def write_csv(parts: list[DataFrame], path: str, overwrite: bool = False, gzip: bool = False) -> None:
     """The union of the parts with the columns in order of first appearance."""
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(flat, parts))
-    rows.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("compression", "gzip" if gzip else "none").csv(path)
+    rows.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').option("compression", "gzip" if gzip else "none").csv(path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
