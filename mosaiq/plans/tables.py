@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from mosaiq.operators import registry, report_tables
 from mosaiq.plans import oracle_parts as O
-from mosaiq.plans.catalog import _BENIGN, _BOOT, _LOSO_SQL, _SEQ, _STREAM_SQL, _boot, _distances, _keep, _loso, _registry, _rounded, query, r6
+from mosaiq.plans.catalog import QUERIES, SQL, _BENIGN, _BOOT, _LOSO_SQL, _SEQ, _STREAM_SQL, _boot, _distances, _keep, _loso, _registry, _rounded, query, r6
 from mosaiq.sources import adapters as A
-from mosaiq.sources import arrays, readers, sinks
+from mosaiq.sources import arrays, bundles, readers, sinks
 
 _PLACED = "WITH " + O.SV + ", pl AS (SELECT source_id||'.npz' AS file, segment_id, video_no, embedding, row_number() OVER (PARTITION BY source_id ORDER BY video_id, segment_id)-1 AS place FROM sv)"
 
@@ -126,3 +126,35 @@ def registry_metadata_comparison(spark, d):
 @query(_BUILT + f" SELECT b.source_id, b.video_id, b.sha256, coalesce(r.sha256,'') AS original_sha256, r.sha256 IS NOT NULL AND r.sha256=b.sha256 AS matches_original, CASE WHEN r.sha256=b.sha256 THEN '{registry.IDENTICAL}' ELSE '{registry.CHANGED}' END AS interpretation FROM bt b LEFT JOIN bt r ON r.source_id=b.source_id AND r.category='reference'")
 def registry_byte_baseline(spark, d):
     return registry.byte_baseline(_built(spark, d))
+
+
+#: The query behind each table of a bundle.
+_TABLES = {
+    "source_registry": "source_registry",
+    "video_inventory": "built_registry",
+    "metadata_comparison": "registry_metadata_comparison",
+    "pipeline_status": "completion_grid",
+    "runtime_log": "runtime_rollup",
+    "segment_distances": "comparison_segments",
+    "alignment_findings": "alignment_registry",
+    "per_video_summary": "comparison_summary",
+    "pooled_thresholds": "pooled_thresholds",
+    "leave_one_source_out_thresholds": "loso_thresholds",
+    "diagnostic_predictions": "loso_video_predictions",
+    "per_source_metrics": "per_source_metrics",
+    "per_tamper_metrics": "transformation_rates",
+    "per_benign_metrics": "transformation_rates",
+    "attribution_summary": "attribution_counts",
+    "sha256_baseline": "registry_byte_baseline",
+    "runtime_summary": "runtime_by_stage",
+    "failures": "failure_rows",
+}
+_PART = {"per_tamper_metrics": "expected = 'abnormal'", "per_benign_metrics": "expected = 'normal'"}
+
+
+@query("SELECT *, rows AS rows_read, 0::BIGINT AS files_wrong FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*)::BIGINT AS rows FROM ({SQL[q]}) WHERE {_PART.get(n, 'true')}" for n, q in _TABLES.items()) + ")")
+def evaluation_bundle(spark, d):
+    """The tables of an evaluation written as one bundle, read back and held against the manifest."""
+    folder = f"{sinks.shared_folder(spark)}/mosaiq/bundle-{uuid.uuid4().hex}"
+    bundles.save({n: QUERIES[q](spark, d).filter(_PART.get(n, "true")) for n, q in _TABLES.items()}, folder)
+    return bundles.summary(spark, folder).select("table", "rows", "rows_read", "files_wrong")
