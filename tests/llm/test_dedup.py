@@ -464,3 +464,32 @@ def test_candidates_do_not_depend_on_batches():
     assert len(want) > 30
     for size in (1, 7, 100, 999):
         assert compact_windows.candidates(Pairs(size), 3, 46) == want
+
+
+@pytest.mark.parametrize("block", [compact_windows.BLOCK, 16])
+def test_passages_around_a_frequent_line_lose_no_pair(spark, block):
+    """60 passages of 50 words around a line that all share; each has a copy with one word changed: 41 of 51 shingles, just enough."""
+    r, line, rows = random.Random(3), words(30_000, 24), []
+    for i in range(60):
+        left = 6 + i % 15
+        w = words(31_000 + i, left) + line + words(32_000 + i, 26 - left)
+        other = w.copy()
+        other[20 + i % 10] = f"changed{i}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    r.shuffle(rows)
+    s = {k: shingles(t) for k, t in rows}
+    want = {(b, a) for a in s for b in s if a < b and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])}
+    assert want == {(2 * i + 1, 2 * i) for i in range(60)}
+    found = compact_windows.find(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    assert {(x["doc_id"], x["other_id"]) for x in found} == want
+
+
+def test_passages_of_few_words_lose_no_pair(spark):
+    """Words over and over, in runs of other lengths in the copy: no long run of equal shingles, but equal sets."""
+    rows = []
+    for i in range(20):
+        r, kinds = random.Random(i), words(33_000 + i, 4)
+        for j in range(2):
+            rows.append((2 * i + j, " ".join(" ".join([w] * r.randint(8, 20)) for w in kinds + kinds)))
+    found = compact_windows.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(2 * i + 1, 2 * i) for i in range(20)} == {(x["doc_id"], x["other_id"]) for x in found if x["doc_id"] != x["other_id"]}
