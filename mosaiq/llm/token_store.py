@@ -85,35 +85,39 @@ def compress(ids: np.ndarray, base: int, end: int = END_ID, min_count: int = MIN
     """(symbols, rules of shape (n, 2), expansion lengths): nonterminals count from base on.
 
     Counts are kept by buckets of a hash, which can only overrate a pair; what is replaced has been counted exactly. A
-    pair below min_count never rises again, so a round looks at the places that are still open and at changed ones only.
+    pair below min_count never rises again, so a round looks at the places that are still open and at changed ones only:
+    symbols keep their places to the end and are chained to their neighbours.
     """
     s = ids.astype(np.uint32)
+    n = len(s)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # n is beyond the last, -1 before the first
+    alive = np.ones(n, bool)
     rules, size = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.int64)
-    top, open_, first = base, np.arange(len(s) - 1), np.empty(1 << _BUCKET_BITS, np.uint64)
+    top, open_, first = base, np.arange(n - 1, dtype=np.int32), np.empty(1 << _BUCKET_BITS, np.uint64)
     while len(open_):
         bits = min(_BUCKET_BITS, int(len(open_)).bit_length() + 1)
-        a, b = s[open_], s[open_ + 1]
+        a, b = s[open_], s[after[open_]]
         bucket = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(32 - bits)
         count = np.bincount(bucket, minlength=1 << bits)[bucket]
         often = (count >= min_count) & (a != end) & (b != end)
         open_, rank = open_[often], count[often] << bits | bucket[often]
         if not len(open_):
             break
-        touches = np.append(False, open_[1:] == open_[:-1] + 1)
+        touches = np.append(False, open_[1:] == after[open_[:-1]])
         left = np.where(touches, np.append(0, rank[:-1]), 0)
         right = np.where(np.append(touches[1:], False), np.append(rank[1:], 0), 0)
         i = np.arange(len(open_))
         run = np.maximum.accumulate(np.where(left == rank, 0, i))  # of one pair over and over: every other place
         best = np.flatnonzero((rank >= right) & ((i - run) % 2 == 0) & (rank > left[run]))
         at, box = open_[best], rank[best] & ((1 << bits) - 1)
-        pair = s[at].astype(np.uint64) << np.uint64(32) | s[at + 1]
+        pair = s[at].astype(np.uint64) << np.uint64(32) | s[after[at]]
         first[box[::-1]] = pair[::-1]
         own = pair == first[box]  # of two pairs in a bucket the later one waits
         count = np.bincount(box[own], minlength=1 << bits)
         use = own & (count[box] >= min_count)
         if not use.any():  # held up by pairs that share a bucket: go on without what is rare by itself, else without these places
-            _, which, n = np.unique(s[open_].astype(np.uint64) << np.uint64(32) | s[open_ + 1], return_inverse=True, return_counts=True)
-            often = n[which] >= min_count
+            _, which, times = np.unique(s[open_].astype(np.uint64) << np.uint64(32) | s[after[open_]], return_inverse=True, return_counts=True)
+            often = times[which] >= min_count
             open_ = np.delete(open_, best) if often.all() else open_[often]
             continue
         new = np.flatnonzero(count >= min_count)
@@ -122,19 +126,24 @@ def compress(ids: np.ndarray, base: int, end: int = END_ID, min_count: int = MIN
         name[new] = top + np.arange(len(new))
         at = at[use]
         s[at] = name[box[use]]
-        keep = np.ones(len(s), bool)
-        keep[at + 1] = False
-        place = np.cumsum(keep, dtype=np.int32) - 1
-        s = s[keep]
-        live = np.zeros(len(s) + 1, bool)
-        live[place[open_[keep[open_]]]] = True
-        live[place[at]] = True
-        live[place[at] - 1] = True
-        open_ = np.flatnonzero(live[: max(len(s) - 1, 0)])
+        gone = after[at]
+        alive[gone] = False
+        after[at] = after[gone]
+        before[after[at]] = at
+        changed = np.concatenate([at, before[at]])
+        if len(open_) > n >> 6:
+            live = np.zeros(n + 1, bool)
+            live[open_] = live[changed] = True
+            open_ = np.flatnonzero(live[:n] & alive).astype(np.int32)
+        else:
+            open_ = np.unique(np.concatenate([open_, changed]))
+            open_ = open_[(open_ >= 0) & alive[open_]]
+        if len(open_) and after[open_[-1]] == n:  # the last symbol has no neighbour
+            open_ = open_[:-1]
         size = np.append(size, np.where(rule >= base, np.append(size, 0)[np.maximum(rule.astype(np.int64) - base, 0)], 1).sum(1))
         rules.append(rule)
         top += len(new)
-    return s, np.concatenate(rules), size
+    return s[alive], np.concatenate(rules), size
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
