@@ -493,3 +493,58 @@ def test_passages_of_few_words_lose_no_pair(spark):
             rows.append((2 * i + j, " ".join(" ".join([w] * r.randint(8, 20)) for w in kinds + kinds)))
     found = compact_windows.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(2 * i + 1, 2 * i) for i in range(20)} == {(x["doc_id"], x["other_id"]) for x in found if x["doc_id"] != x["other_id"]}
+
+
+def _met(group, code, near=False):
+    n = len(group)
+    found = compact_windows.meetings(group, np.arange(n), np.full(n, 100), np.full(n, near), code, 46, 0.8)
+    return {(int(a), int(b)) for i, j in found for a, b in zip(i, j)}
+
+
+@pytest.mark.parametrize("side", ["left", "middle", "right"])
+@pytest.mark.parametrize("near", [False, True])
+def test_windows_with_one_stretch_in_common_are_not_paired_all_with_all(side, near):
+    """300 windows of a group have one stretch in common that ends, begins or lies about the middle; 20 have nothing but the middle; two of those are similar elsewhere."""
+    r = np.random.default_rng(11)
+    code = r.integers(1, 1 << 24, (320, 99)).astype("<u4")
+    low = {"left": 4, "middle": 26, "right": 49}[side]
+    code[:300, low : low + 46] = r.integers(1, 1 << 24, 46)
+    if near:
+        code[:300, low + 6] = code[:300, low + 5]
+    code[:, 49] = 7
+    code[319, 10:60] = code[307, 10:60]
+    found = _met(np.zeros(320, np.int64), code, near)
+    assert (307, 319) in found and len(found) < 2 * 320
+    reached, todo = {0}, [0]
+    links = defaultdict(set)
+    for a, b in found:
+        links[a].add(b)
+        links[b].add(a)
+    while todo:
+        new = links[todo.pop()] - reached
+        reached |= new
+        todo += new
+    assert reached >= set(range(300)) and not reached & {307, 319}
+
+
+def test_pairs_near_repeats_equal_plain_sets():
+    r = np.random.default_rng(12)
+    x = r.integers(1, 25, (400, 99)).astype("<u4")
+    y = np.roll(x, 3, axis=1)
+    for row in range(400):
+        some = r.random(99) < row % 20 / 100
+        y[row, some] = r.integers(25, 60, int(some.sum()))
+    x[::7, :30] = 0
+
+    def share(a, b, low, high):
+        parts = [a[s : s + 46].tolist() for s in range(low, high + 1)]
+        return any(0 not in p and len(set(p) & set(b.tolist())) >= 0.8 * len(set(p)) - 1e-9 for p in parts)
+
+    def hits(a, b):
+        return max(sum(v != 0 and v in b for v in a[s : s + 46]) for s in range(4, 50))
+
+    want = [hits(a, b) >= 40 and share(a, b, 4, 49) and share(b, a, 0, 53) for a, b in zip(x, y)]
+    got = compact_windows.possible(x, y, np.ones(400, bool), 46, 40, 0.8)
+    both = np.vstack([y, x])
+    may = compact_windows.sifted(both, compact_windows.sieve(both), np.arange(400), np.arange(400, 800), 46, 40)
+    assert got.tolist() == want and 20 < got.sum() < 380 and not (got & may != got).any()
