@@ -165,7 +165,7 @@ def statistics(rows: DataFrame, value: str | Column, by: list[str], probs: list[
     def wanted(frame: pd.DataFrame) -> pd.DataFrame:
         ranks = Ranks.of(frame, named)
         marked = np.flatnonzero(_unresolved(ranks, a, b, probs, mad))
-        out = pd.DataFrame({k: [frame[k].iloc[0]] * len(marked) for k in keys})
+        out = frame[keys].iloc[np.zeros(len(marked), int)].reset_index(drop=True)  # with the keys' own types, also without rows
         return out.assign(low=ranks.low[marked], high=ranks.high[marked], n=ranks.counts[:, marked].sum(axis=0))[[*keys, "low", "high", "n"]]
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:

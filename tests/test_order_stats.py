@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from mosaiq.operators import evaluation, models, order_stats
-from mosaiq.plans import catalog
+from mosaiq.plans import catalog, chain, tables  # noqa: F401 - chain and tables register their queries
 
 DATA = "/root/testdata/sf0.01"
 
@@ -89,3 +89,26 @@ def test_fit_without_equals_fits_of_the_rest(spark):
         rest = models.fit(rows.filter(~F.col("source_id").isin(a, b)), F.col("temporal"), []).first()
         for part in ("q1", "median", "q3", "scale", "zero_iqr", "fitted_rows"):
             assert got[a, b][part] == rest[part]
+
+
+@pytest.mark.parametrize("broadcast", [0, 1000])
+@pytest.mark.parametrize("width", ["low", "both"])
+def test_text_keys_of_which_some_are_resolved_before_others(spark, small_tables, monkeypatch, broadcast, width):
+    monkeypatch.setattr(order_stats, "BROADCAST_ROWS", broadcast)
+    rows = [("low", f"g{i % 3}", 0.25 * (i % 4)) for i in range(40)] + [("high", f"g{i % 3}", float(i * i if width == "both" else i % 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, g string, v double").unionByName(spark.createDataFrame([(None, "g0", 1.0 * i) for i in range(9)], "k string, g string, v double"))
+    got = {(r["k"], r["out_a"]): (r["n"], r["largest"], r["median"], r["mad"]) for r in order_stats.spread(df, "v", ["k"], group="g", leave_out=1).collect()}
+    want = {}
+    for k in ("low", "high", None):
+        own = [(r["g"], r["v"]) for r in df.filter(F.col("k").eqNullSafe(F.lit(k))).collect()]
+        for g in ("g0", "g1", "g2"):
+            v = np.array([x for h, x in own if h != g])
+            want[k, g] = (len(v), v.max(), np.median(v), np.median(np.abs(v - np.median(v)))) if len(v) else (0, None, None, 0.0)
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["attribution_counts"])
+def test_threshold_queries_equal_themselves_when_ranges_are_refined(spark, monkeypatch, name):
+    want = sorted(catalog.QUERIES[name](spark, DATA).collect(), key=str)
+    monkeypatch.setattr(order_stats, "GATHER", 5)
+    assert sorted(catalog.QUERIES[name](spark, DATA).collect(), key=str) == want
