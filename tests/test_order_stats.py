@@ -107,7 +107,7 @@ def test_text_keys_of_which_some_are_resolved_before_others(spark, small_tables,
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["attribution_counts", "fold_threshold_table", "loso_predictions", "loso_thresholds", "loso_video_predictions", "main_attribution", "max_with_fold_threshold", "pooled_decisions", "pooled_thresholds"])
+@pytest.mark.parametrize("name", ["attribution_counts", "fold_threshold_table", "loso_predictions", "loso_thresholds", "loso_video_predictions", "main_attribution", "max_with_fold_threshold", "pooled_decisions", "pooled_thresholds", "stream_scores_with_thresholds"])
 def test_threshold_queries_equal_themselves_when_ranges_are_refined(spark, monkeypatch, name):
     want = sorted(catalog.QUERIES[name](spark, DATA).collect(), key=str)
     monkeypatch.setattr(order_stats, "GATHER", 5)
