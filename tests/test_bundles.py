@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from mosaiq.operators import order_stats
+from mosaiq.plans import catalog
 from mosaiq.sources import bundles
 
 NAMES = ("a", "b", "none")
@@ -41,3 +43,10 @@ def test_other_lists_are_refused(spark, tmp_path):
     assert not (tmp_path / "out").exists()
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         bundles.verify(spark, str(tmp_path))
+
+
+def test_threshold_tables_of_which_ranges_are_refined(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(order_stats, "GATHER", 5)
+    names = ("pooled_thresholds", "loso_thresholds")
+    bundles.save({n: catalog.QUERIES[n](spark, "/root/testdata/sf0.01") for n in names}, str(tmp_path / "out"), names)
+    assert {r["table"]: (r["rows"], r["rows_read"], r["files_wrong"]) for r in bundles.summary(spark, str(tmp_path / "out")).collect()} == {"pooled_thresholds": (3, 3, 0), "loso_thresholds": (30, 30, 0)}
