@@ -548,3 +548,44 @@ def test_pairs_near_repeats_equal_plain_sets():
     both = np.vstack([y, x])
     may = compact_windows.sifted(both, compact_windows.sieve(both), np.arange(400), np.arange(400, 800), 46, 40)
     assert got.tolist() == want and 20 < got.sum() < 380 and not (got & may != got).any()
+
+
+@pytest.mark.parametrize("side", [0, 1])
+def test_windows_around_a_common_line_are_not_compared_all_with_all(side):
+    rng = np.random.default_rng(side)
+    n, middle = 2000, 49
+    code = rng.integers(1, 1 << 24, (n, 99)).astype("<u4")
+    line = slice(middle, middle + 9) if side == 0 else slice(middle - 8, middle + 1)
+    code[:, line] = 7
+    key = np.full(n, 4 * 11 + side)
+    assert not len(compact_windows.divided(key, code)[0])
+    row, group = compact_windows.divided(key - side + 2, code)  # the group of the shingle alone is left as it is
+    assert (row == np.arange(n)).all() and (group == 0).all()
+
+
+@pytest.mark.parametrize("side", [0, 1])
+def test_divided_groups_lose_no_pair_with_a_run(side):
+    rng = np.random.default_rng(side)
+    n, middle, run = 240, 49, compact_windows.RUN
+    code = rng.integers(1, 4, (n, 99)).astype("<u4")
+    common = rng.integers(1, 1 << 24, (2 * run, 99)).astype("<u4")
+    for i in range(n):
+        left = rng.integers(0, run) if side == 0 else rng.integers(8, run)
+        right = max(run - 1 - left, 8) if side == 0 else max(run - 1 - left, 0)
+        part = slice(middle - left, middle + right + 1)
+        code[i, part] = common[rng.integers(0, 3), part]
+        code[i, : rng.integers(0, middle - left + 1)] = 0
+    key = np.sort(rng.integers(0, 3, n)) * 4 + side
+    row, group = compact_windows.divided(key, code)
+    assert (np.diff(group) >= 0).all() and all((np.diff(row[group == g]) > 0).all() for g in np.unique(group))
+    met = {(int(i), int(j)) for g in np.unique(group) for i in row[group == g] for j in row[group == g] if i < j}
+    sides = range(middle - 8, middle + 1) if side else range(middle, middle + 9)
+    wanted = 0
+    for i in range(n):
+        for j in range(i + 1, n):
+            same = (code[i] == code[j]) & (code[i] > 0)
+            left, right = (int(np.append(~part, True).argmax()) for part in (same[:middle][::-1], same[middle + 1 :]))
+            if key[i] == key[j] and same[middle] and same[sides].all() and left + right + 1 >= run:
+                wanted += 1
+                assert (i, j) in met
+    assert wanted > 300
