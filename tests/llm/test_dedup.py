@@ -589,3 +589,17 @@ def test_divided_groups_lose_no_pair_with_a_run(side):
                 wanted += 1
                 assert (i, j) in met
     assert wanted > 300
+
+
+def test_pairs_of_divided_groups_are_told_once():
+    n, width = 60, 99
+    code = np.random.default_rng(3).integers(1, 1 << 24, (1, width)).repeat(n, 0).astype("<u4")
+    raw = code.view(np.uint8).reshape(n, width, 4)[:, :, :3]
+    batch = pa.RecordBatch.from_arrays([pa.array([4] * n), pa.array(range(n)), pa.array([100 << 19] * n), pa.array([r.tobytes() for r in raw])], ["key", "a", "place_a", "part"])
+
+    class Rows:
+        def mapInArrow(self, run, shape):
+            return [r for b in run(iter([batch])) for r in b.to_pylist()]
+
+    got = [(r["a"], r["b"]) for r in compact_windows.near_links(Rows(), 46, 0.8)]
+    assert sorted(got) == [(0, j) for j in range(1, n)]
